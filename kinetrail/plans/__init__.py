@@ -1,9 +1,15 @@
-"""Registered queries."""
+"""Registered queries over the test tables, each with DuckDB SQL where SQL can express it."""
+
+from . import dynamics, geometry, statics
+from .registry import QUERIES, SQL
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
+
+
+__all__ = ["dynamics", "geometry", "oracle_sql", "queries", "statics"]
