@@ -86,8 +86,9 @@ class Trajectory:
     def frames(self) -> DataFrame:
         """Positions of the slice's frames."""
         r = self.frame_range
-        first, last = (r[0], r[-1]) if len(r) else (0, -1)
-        low, high = min(first, last), max(first, last)
+        if not len(r):
+            return self.positions.where(F.lit(False))
+        low, high = min(r[0], r[-1]), max(r[0], r[-1])
         return self.positions.where(F.col("frame").between(low, high) & (F.pmod(F.col("frame") - low, F.lit(abs(r.step))) == 0))
 
     def map(self, f: Callable[[DataFrame], DataFrame]) -> Trajectory:
