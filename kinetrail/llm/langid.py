@@ -123,7 +123,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 scores.append(posterior)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
-    given = docs.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "text")
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold("doc_id", 4) == 2).alias("held_out"), "text")
     return given.mapInArrow(score, "doc_id long, held_out boolean, lang_pred string, score double")
 
 

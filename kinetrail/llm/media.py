@@ -216,7 +216,7 @@ def run(docs: DataFrame) -> DataFrame:
             texts = batch["text"].to_pylist()
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([len((t or "").encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), pa.array([hashlib.sha256(payload(t)).digest() for t in texts], pa.binary())], ["doc_id", "n_bytes", "digest"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(digests, "doc_id long, n_bytes long, digest binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(digests, "doc_id long, n_bytes long, digest binary")
     return rows.join(members, "digest").select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bit_depth", F.element_at(F.split("shard", "/"), -1).alias("shard"), "offset", "length"
     )

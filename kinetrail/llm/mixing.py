@@ -97,14 +97,14 @@ class Plan:
     leaves: DataFrame
     seed: int
 
-    def times(self, docs: DataFrame) -> DataFrame:
-        """``docs`` with a column ``times``: the number of epochs that select the row. ``docs`` needs the level columns."""
-        marked = docs.join(F.broadcast(self.leaves), [docs[c].eqNullSafe(self.leaves[f"leaf_{c}"]) for c in LEVELS])
-        extra = (order_hash(self.seed, F.col("leaf_epochs")) <= F.col("leaf_cut")).cast("int")
-        return marked.withColumn("times", (F.col("leaf_epochs") + extra).cast("int")).drop(*self.leaves.columns)
+    def times(self, docs: DataFrame, levels: tuple[Column, ...]) -> DataFrame:
+        """The rows of ``docs`` that some epoch selects, with a column ``_times``, the number of those epochs. ``levels`` give a row's leaf."""
+        marked = docs.join(F.broadcast(self.leaves), [c.eqNullSafe(self.leaves[f"_leaf_{n}"]) for c, n in zip(levels, LEVELS, strict=True)])
+        extra = (order_hash(self.seed, F.col("_leaf_epochs")) <= F.col("_leaf_cut")).cast("int")
+        return marked.withColumn("_times", (F.col("_leaf_epochs") + extra).cast("int")).where(F.col("_times") > 0)
 
 
-LEAF_SCHEMA = "leaf_domain string, leaf_lang string, leaf_source string, leaf_id int, leaf_epochs int, leaf_rest long"
+LEAF_SCHEMA = "_leaf_domain string, _leaf_lang string, _leaf_source string, leaf_id int, _leaf_epochs int, leaf_rest long"
 
 
 def plan(rows: DataFrame, share: float, weights: dict[tuple, float], max_epochs: int, seed: int) -> Plan:
@@ -117,8 +117,8 @@ def plan(rows: DataFrame, share: float, weights: dict[tuple, float], max_epochs:
     given = allocate(held, share * sum(held.values()), weights, max_epochs)
     cuts = [(*path, k, given[path] // n if n else 0, given[path] % n if n else 0) for k, (path, n) in enumerate(held.items())]
     leaves = spark.createDataFrame(cuts, LEAF_SCHEMA)
-    placed = rows.join(F.broadcast(leaves), [rows[c].eqNullSafe(leaves[f"leaf_{c}"]) for c in LEVELS])
-    placed = placed.select("leaf_id", "leaf_rest", "n_tokens", order_hash(seed, F.col("leaf_epochs")).alias("h"))
+    placed = rows.join(F.broadcast(leaves), [rows[c].eqNullSafe(leaves[f"_leaf_{c}"]) for c in LEVELS])
+    placed = placed.select("leaf_id", "leaf_rest", "n_tokens", order_hash(seed, F.col("_leaf_epochs")).alias("h"))
     bins = placed.groupBy("leaf_id", "leaf_rest", F.substring("h", 1, BIN_DIGITS).alias("bin")).agg(F.sum("n_tokens").alias("n"))
     through = F.sum("n").over(Window.partitionBy("leaf_id").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
     # the bin in which the prefix ends; none where it takes all
@@ -131,7 +131,7 @@ def plan(rows: DataFrame, share: float, weights: dict[tuple, float], max_epochs:
     found = {r.leaf_id: r.cut for r in ends.join(last, "leaf_id", "left").select("leaf_id", F.coalesce("h", "bin").alias("cut")).collect()}
     # without an end all is taken ("g" is after every hash), but nothing of a leaf that got nothing
     full = [(*c[:5], found.get(c[3], "g" if c[5] else "")) for c in cuts]
-    return Plan(spark.createDataFrame(full, "leaf_domain string, leaf_lang string, leaf_source string, leaf_id int, leaf_epochs int, leaf_cut string"), seed)
+    return Plan(spark.createDataFrame(full, "_leaf_domain string, _leaf_lang string, _leaf_source string, _leaf_id int, _leaf_epochs int, _leaf_cut string"), seed)
 
 
 #: Target weights of the query: of domains, and of English inside each domain.
@@ -145,15 +145,15 @@ def with_levels(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, share: float = 0.6, weights: dict[tuple, float] | None = None, max_epochs: int = 2, seed: int = 13) -> DataFrame:
     """doc_id, epoch, domain, lang, source, n_tokens: a row for each selection of a document."""
     rows = stage(with_levels(docs.select("doc_id", "lang", "source", n_tokens().alias("n_tokens"))), "mixing-rows")
-    chosen = plan(rows, share, WEIGHTS if weights is None else weights, max_epochs, seed).times(rows).where("times > 0")
-    return chosen.select("doc_id", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("epoch"), "domain", "lang", "source", "n_tokens")
+    chosen = plan(rows, share, WEIGHTS if weights is None else weights, max_epochs, seed).times(rows, tuple(rows[c] for c in LEVELS))
+    return chosen.select("doc_id", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)).alias("epoch"), "domain", "lang", "source", "n_tokens")
 
 
 def select(docs: DataFrame, share: float, weights: dict[tuple, float] | None = None, seed: int = 13) -> DataFrame:
     """The rows of ``docs``, all columns, that one seeded epoch selects; each row once at most."""
     rows = stage(with_levels(docs.select("doc_id", "lang", "source", n_tokens().alias("n_tokens"))), "mixing-rows")
     cuts = plan(rows, share, WEIGHTS if weights is None else weights, 1, seed)
-    return cuts.times(docs.withColumn("domain", domain_of())).where("times > 0").select(*docs.columns)
+    return cuts.times(docs, (domain_of(), F.col("lang"), F.col("source"))).select(*docs.columns)
 
 
 def run(docs: DataFrame) -> DataFrame:

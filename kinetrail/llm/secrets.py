@@ -167,7 +167,7 @@ def scan(docs: DataFrame, model: MarkovPair) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_markov"])
 
-    return docs.select("doc_id", "text").mapInArrow(apply, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_markov long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(apply, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_markov long")
 
 
 def redact(docs: DataFrame, model: MarkovPair, mark: str = "[SECRET]") -> DataFrame:

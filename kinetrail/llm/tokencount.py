@@ -29,6 +29,7 @@ import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Where the rank file of the query lies.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -196,7 +197,7 @@ def count(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
                 rows.append((before, leaves, tree.total, len(tree.text), tree.encoded))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, pa.int64()) for c in (list(zip(*rows, strict=True)) or [()] * 5))], ["doc_id", "n_tokens", "n_leaves", "edited_tokens", "edited_chars", "encoded_chars"])
 
-    return docs.select("doc_id", "text").mapInArrow(apply, "doc_id long, n_tokens long, n_leaves long, edited_tokens long, edited_chars long, encoded_chars long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(apply, "doc_id long, n_tokens long, n_leaves long, edited_tokens long, edited_chars long, encoded_chars long")
 
 
 def run(docs: DataFrame) -> DataFrame:

@@ -225,7 +225,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
                 ["doc_id", "held_out", "score", "predicted", "hits"],
             )
 
-    given = docs.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "text")
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold("doc_id", 4) == 2).alias("held_out"), "text")
     return given.mapInArrow(apply, "doc_id long, held_out boolean, score double, predicted int, hits long")
 
 
