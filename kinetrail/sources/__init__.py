@@ -46,13 +46,29 @@ def read_ndx(spark: SparkSession, path: str) -> DataFrame:
     return parts.where(F.col("number") != "").select("group", (F.col("number").cast("long") - 1).alias("atom"))
 
 
+def read_gro_frames(spark: SparkSession, path: str) -> DataFrame:
+    """Positions of fixed-width coordinate files, one frame a file in the order of their names; coordinates in columns of 8, the box's diagonal in the last line.
+
+    A title that ends in ``t= number`` gives the time, else it is the frame's number.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split(F.regexp_replace("value", r"\s+$", ""), r"\r?\n").alias("lines"))
+    # the names of the files, one row each
+    names = files.select("file").withColumn("frame", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("file")) - 1)
+    held = files.join(names, "file")
+    box = F.split(F.trim(F.element_at("lines", -1)), r"\s+")
+    time = F.coalesce(F.regexp_extract(F.get("lines", F.lit(0)), r"t=\s*([-+0-9.eE]+)", 1).try_cast("double"), F.col("frame").cast("double"))
+    rows = held.select("frame", time.alias("time"), box.alias("b"), F.posexplode(F.slice("lines", 3, F.size("lines") - 3)).alias("n", "line"))
+    part = lambda k: F.trim(F.substring("line", 21 + 8 * k, 8)).cast("double")
+    return rows.select("frame", "time", F.col("n").cast("long").alias("atom"), part(0).alias("x"), part(1).alias("y"), part(2).alias("z"), *(F.get("b", F.lit(k)).cast("double").alias(c) for k, c in enumerate(("bx", "by", "bz"))))
+
+
 def _parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
 #: Readers of topologies and trajectories by extension; others can be registered.
 TOPOLOGIES = {"gro": read_gro, "parquet": _parquet}
-TRAJECTORIES = {"parquet": _parquet}
+TRAJECTORIES = {"parquet": _parquet, "gro": read_gro_frames}
 
 
 def reader_for(path: str, registry: dict):
@@ -101,4 +117,4 @@ def event_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("user_id", (F.row_number().over(order) - 1).alias("frame"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("us"), "value", "event_type", "event_id")
 
 
-__all__ = ["ATOMS", "INDEX_GROUPS", "N_FRAMES", "NoReaderAvailable", "embedding_atoms", "embedding_positions", "event_series", "one_path", "read_energy", "read_gro", "read_ndx", "reader_for", "table"]
+__all__ = ["ATOMS", "INDEX_GROUPS", "N_FRAMES", "NoReaderAvailable", "embedding_atoms", "embedding_positions", "event_series", "one_path", "read_energy", "read_gro", "read_gro_frames", "read_ndx", "reader_for", "table"]
