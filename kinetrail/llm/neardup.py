@@ -12,14 +12,16 @@ Consistent weighted samples (Ioffe 2010), 24 bands of 5, collide for a pair of
 similarity 0.8 with probability 0.9999. Equal texts become one node first. In each
 bucket of a band the smallest node is the leader, and only (member, leader)
 pairs are verified by their weighted Jaccard similarity, which links a hot bucket
-with as many pairs as it has members. Pairs that a leader does not decide are
-searched afterwards: with distance d = 1 - similarity, a metric, members x and y can be
-linked only if |d(x, leader) - d(y, leader)| <= 0.2, and if a 120-bit sketch of
-their samples agrees in at least 92 bits (at 0.8 it agrees in 108 on average;
-fewer than 92 has a probability of about 1e-6). A first round verifies the best such
-pairs, a second one all that still lie in different components, so no link is given up for
-a bucket's size; blocks of a bucket are compared with blocks, never gathered
-whole. Connected components of the links are the classes.
+with as many pairs as it has members. What a leader does not decide is searched
+afterwards. Members x and y can only be linked if |d(x, leader) - d(y, leader)| <= 0.2
+for the distance d = 1 - similarity, a metric; if their total weights are within the
+similarity; and if a sketch, a byte of each of the 120 samples, agrees in at least 75
+(at 0.8 it agrees in 96 on average, in fewer than 75 with a probability of about 1e-6).
+A first round verifies each member's best such partner in a bucket. The second one
+takes all such pairs that still lie in different components, compares and verifies them inside
+blocks of a bucket's members, each pair in the first band it shares, and returns
+links alone: no list of pairs grows with the square of a group, and no link is
+given up for a bucket's size. Connected components of the links are the classes.
 
 Defined results: equal texts share a class, even empty ones. A null text is a
 class of its own. A text of one to four words is one shingle. The class id is
@@ -31,6 +33,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +47,10 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
 SAMPLES = BANDS * ROWS
 SLOT_BITS, BLOCK_BITS, POOL_BITS = 20, 16, 16
-#: Bits of the sketch that must agree; members of a block; pairs of a leader that one group verifies.
-LEAST_AGREEING, BLOCK_MEMBERS, FAN = 92, 4096, 1000
+#: Samples of the sketch that must agree; members of a block; pairs of a leader that one group verifies.
+LEAST_AGREEING, BLOCK_MEMBERS, FAN = 75, 1024, 1000
+#: Shingles of the profiles that a block's comparison keeps at hand.
+HELD_SHINGLES = 4_000_000
 #: Words and texts that a task remembers.
 REMEMBERED_WORDS, REMEMBERED_TEXTS = 500_000, 100_000
 IDF_RANGE = 0.25
@@ -150,13 +155,13 @@ class Sampler:
         return self.log_c[at] - self.r[at] * (t + 1 - self.beta[at])
 
     def signatures(self, h: np.ndarray, w: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Band hashes (documents x BANDS) and sketches (documents x 2) of consecutive nonempty documents."""
+        """Band hashes (documents x BANDS) and sketches (documents x SAMPLES bytes) of consecutive nonempty documents."""
         low = _mix(h) & np.uint64(0xFFFFFFFF)
         other = np.flatnonzero(np.abs(w - self.common) > 1e-9)
         log_w, h_other, low_other = np.log(w[other]), h[other], low[other]
         held, key = np.empty_like(h), np.empty_like(h)
         bands = np.zeros((len(starts), BANDS), np.uint64)
-        bits = np.zeros((len(starts), 2), np.uint64)
+        sketch = np.zeros((len(starts), SAMPLES), np.uint8)
         shift = np.uint64(64 - POOL_BITS)
         for j, factor in enumerate(self.factors):
             np.multiply(h, factor, out=held)
@@ -168,8 +173,8 @@ class Sampler:
             best = _mix(np.minimum.reduceat(key, starts))
             band = j // ROWS
             bands[:, band] = (bands[:, band] ^ best) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band + 1)
-            bits[:, j // 64] |= (best >> np.uint64(63)) << np.uint64(j % 64)
-        return bands, bits
+            sketch[:, j] = best >> np.uint64(56)
+        return bands, sketch
 
 
 def _digest(text: str) -> bytes:
@@ -177,7 +182,7 @@ def _digest(text: str) -> bytes:
 
 
 def sign(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """doc_id, tid of each row with a text; bands and sketch too where a text with shingles is a task's first."""
+    """doc_id, tid of each row with a text; bands, sketch and total weight too where a text with shingles is a task's first."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,16 +203,17 @@ def sign(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                         fresh.append(k)
                         parts.append((h, weights(h, tf, shared.value)))
                 bands: list = [None] * len(texts)
-                one: list = [None] * len(texts)
-                two: list = [None] * len(texts)
+                sketches: list = [None] * len(texts)
+                totals: list = [None] * len(texts)
                 if fresh:
                     starts = np.concatenate(([0], np.cumsum([len(h) for h, _ in parts])[:-1])).astype(np.int64)
-                    got, bits = sampler.signatures(np.concatenate([h for h, _ in parts]), np.concatenate([w for _, w in parts]), starts)
-                    for k, b, s in zip(fresh, got.view(np.int64).tolist(), bits.view(np.int64).tolist(), strict=True):
-                        bands[k], (one[k], two[k]) = b, s
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids[first : first + len(texts)], pa.int64()), pa.array(tids, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(one, pa.int64()), pa.array(two, pa.int64())], ["doc_id", "tid", "bands", "s1", "s2"])
+                    got, sketch = sampler.signatures(np.concatenate([h for h, _ in parts]), np.concatenate([w for _, w in parts]), starts)
+                    for n, (k, b) in enumerate(zip(fresh, got.view(np.int64).tolist(), strict=True)):
+                        bands[k], sketches[k], totals[k] = b, sketch[n].tobytes(), float(parts[n][1].sum())
+                columns = (doc_ids[first : first + len(texts)], pa.int64()), (tids, pa.binary()), (bands, pa.list_(pa.int64())), (sketches, pa.binary()), (totals, pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], ["doc_id", "tid", "bands", "sketch", "total"])
 
-    return docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), "text").mapInArrow(apply, "doc_id long, tid binary, bands array<long>, s1 long, s2 long")
+    return docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), "text").mapInArrow(apply, "doc_id long, tid binary, bands array<long>, sketch binary, total double")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -258,55 +264,128 @@ def verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
     return both.mapInArrow(compare, "a long, b long, sim double")
 
 
-def undecided(rows: DataFrame, everything: bool) -> DataFrame:
-    """Pairs (a, b) that may be linked among bucket rows (key, nid, d, comp, s1, s2, n).
+ROW = ("key", "block", "probe", "nid", "d", "comp", "total", "sketch")
 
-    ``d`` is the distance to the bucket's leader. A member within 0.2 of it is linked
-    already and is only met by members that are not. Unless ``everything`` is
-    asked for, a member is paired with its best linked one and with members that
-    stand for others. Rows with equal ``comp`` are never paired.
-    """
-    limit = 1 - SIMILARITY + 1e-9
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK_MEMBERS)).cast("int")
-    rows = rows.withColumn("blocks", blocks)
+
+def _in_blocks(rows: DataFrame, *more: str) -> DataFrame:
+    """Bucket rows dealt to blocks of their bucket, members first: each row is a member of one block, and a probe of all if its leader is too far."""
+    rows = rows.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK_MEMBERS)).cast("int"))
     own = rows.withColumn("block", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int")).withColumn("probe", F.lit(0))
-    probes = rows.where(F.col("d") > limit).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("probe", F.lit(1))
+    probes = rows.where(F.col("d") > FAR).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("probe", F.lit(1))
+    both = own.unionByName(probes).select(*ROW, *more)
+    return both.repartition("key", "block").sortWithinPartitions("key", "block", "probe", "nid")
+
+
+FAR = 1 - SIMILARITY + 1e-9
+
+
+class _Block:
+    """Members of a block, and which of them a probe may be linked with."""
+
+    def __init__(self, members: list[tuple]) -> None:
+        self.ids, self.comps = (np.array([m[k] for m in members], np.int64) for k in (3, 5))
+        self.ds, self.totals = (np.array([m[k] for m in members], np.float64) for k in (4, 6))
+        self.sketch = np.frombuffer(b"".join(m[7] for m in members), np.uint8).reshape(-1, SAMPLES)
+
+    def partners(self, nid: int, d: float, comp: int, total: float, sketch: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the members that may be linked with a probe, and in how many samples they agree; pairs of probes once."""
+        close = (self.comps != comp) & (np.abs(self.ds - d) <= FAR) & (np.minimum(self.totals, total) >= (SIMILARITY - 1e-9) * np.maximum(self.totals, total))
+        found = np.flatnonzero(close & ((self.ds <= FAR) | (self.ids > nid)))
+        agree = (self.sketch[found] == np.frombuffer(sketch, np.uint8)).sum(axis=1)
+        enough = agree >= LEAST_AGREEING
+        return found[enough], agree[enough]
+
+
+def _blocks_of(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple[list[tuple], Iterator[tuple]]]:
+    """The members of each block in turn, with an iterator over its probes."""
+    rows = (row for batch in batches for row in zip(*(batch[c].to_pylist() for c in names), strict=True))
+    for _, part in groupby(rows, key=lambda r: r[:2]):
+        members: list[tuple] = []
+        head = None
+        for row in part:
+            if row[2]:
+                head = row
+                break
+            members.append(row)
+        if head is not None:
+            yield members, chain([head], part)
+
+
+def best_partners(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b): each probe with the member of a block that agrees with it most."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, members, stands, table = None, [], [], None
-        for batch in batches:
-            out: list[tuple[int, int]] = []
-            for row in zip(*(batch[c].to_pylist() for c in ("key", "block", "probe", "nid", "d", "comp", "s1", "s2")), strict=True):
-                key, block, probe, nid, d, comp, s1, s2 = row
-                if (key, block) != last:
-                    last, members, stands, table = (key, block), [], [], None
-                if not probe:
-                    members.append((nid, d, comp, s1, s2))
-                    continue
-                if table is None:
-                    ids, comps = (np.array([m[k] for m in members], np.int64) for k in (0, 2))
-                    table = ids, np.array([m[1] for m in members]), comps, np.array([[m[3], m[4]] for m in members], np.int64).view(np.uint64)
-                ids, ds, comps, sketch = table
-                mine = np.array([s1, s2], np.int64).view(np.uint64)
-                agree = SAMPLES - np.bitwise_count(sketch ^ mine).sum(axis=1).astype(np.int64)
-                maybe = (comps != comp) & (np.abs(ds - d) <= limit) & (agree >= LEAST_AGREEING)
-                linked = ds <= limit
-                if everything:
-                    found = np.flatnonzero(maybe & (linked | (ids > nid)))
-                else:
-                    found = np.flatnonzero(maybe & linked)
-                    if len(found):
-                        found = found[[agree[found].argmax()]]
-                    rest = [k for k in stands if maybe[k] and ids[k] != nid]
-                    found = np.concatenate((found, np.array(rest, np.int64)))
-                    if not any(agree[k] >= LEAST_AGREEING + 16 for k in rest):
-                        stands += np.flatnonzero(ids == nid).tolist()
-                out += [(min(nid, int(y)), max(nid, int(y))) for y in ids[found]]
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
+        for members, probes in _blocks_of(batches, ROW):
+            block, out = _Block(members), []
+            for row in probes:
+                found, agree = block.partners(*row[3:])
+                if len(found):
+                    y = int(block.ids[found[agree.argmax()]])
+                    out.append((min(row[3], y), max(row[3], y)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return _in_blocks(rows).mapInArrow(compare, "a long, b long").distinct()
+
+
+def partnered(rows: DataFrame) -> DataFrame:
+    """key, nid of the rows that have a possible partner in another component."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for members, probes in _blocks_of(batches, ROW):
+            block, key, out = _Block(members), members[0][0] if members else None, set()
+            for row in probes:
+                found, _ = block.partners(*row[3:])
+                if len(found):
+                    out.add(row[3])
+                    out.update(block.ids[found].tolist())
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(out), pa.int64()), pa.array(sorted(out), pa.int64())], ["key", "nid"])
 
-    both = own.unionByName(probes).select("key", "block", "probe", "nid", "d", "comp", "s1", "s2")
-    sent = both.repartition("key", "block").sortWithinPartitions("key", "block", "probe", "nid")
-    return sent.mapInArrow(compare, "a long, b long").distinct()
+    return _in_blocks(rows).mapInArrow(compare, "key long, nid long").distinct()
+
+
+def resolve(rows: DataFrame, idf: np.ndarray) -> DataFrame:
+    """Links (a, b) among bucket rows that also have text, band and bands: all pairs in different components are verified in place, unless links found before join them."""
+    shared = rows.sparkSession.sparkContext.broadcast(idf)
+    names = (*ROW, "text", "band", "bands")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, profiles, size = _Ids(), {}, 0
+
+        def profile(nid: int, text: str) -> tuple[np.ndarray, np.ndarray]:
+            nonlocal size
+            held = profiles.get(nid)
+            if held is None:
+                h, tf = shingles(text, ids)
+                held = h, weights(h, tf, shared.value)
+                if size > HELD_SHINGLES:
+                    profiles.clear()
+                    size = 0
+                profiles[nid] = held
+                size += len(h)
+            return held
+
+        for members, probes in _blocks_of(batches, names):
+            block, links = _Block(members), []
+            bands = np.array([m[10] for m in members], np.int64)
+            parent: dict[int, int] = {}
+
+            def find(x: int, parent: dict[int, int] = parent) -> int:
+                while parent.get(x, x) != x:
+                    x = parent[x]
+                return x
+
+            for row in probes:
+                found, agree = block.partners(*row[3:8])
+                # each pair once, in the first band that it shares
+                here = (bands[found] == np.array(row[10], np.int64)).argmax(axis=1) == row[9]
+                for k in found[here][np.argsort(-agree[here], kind="stable")]:
+                    one, two = find(row[5]), find(int(block.comps[k]))
+                    if one != two and weighted_jaccard(profile(row[3], row[8]), profile(members[k][3], members[k][8])) >= SIMILARITY:
+                        parent[max(one, two)] = min(one, two)
+                        links.append((row[3], members[k][3]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return _in_blocks(rows, "text", "band", "bands").mapInArrow(compare, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -327,9 +406,9 @@ def classes(docs: DataFrame) -> DataFrame:
     """doc_id, tid, class_id for every row of ``docs``; tid is the digest of its text."""
     idf = document_frequencies(docs)
     signed = stage(sign(docs, idf), "neardup-signed")
-    grouped = signed.groupBy("tid").agg(F.min("doc_id").alias("rep"), F.first("bands", ignorenulls=True).alias("bands"), F.first("s1", ignorenulls=True).alias("s1"), F.first("s2", ignorenulls=True).alias("s2"))
+    grouped = signed.groupBy("tid").agg(F.min("doc_id").alias("rep"), *(F.first(c, ignorenulls=True).alias(c) for c in ("bands", "sketch", "total")))
     nodes = stage(grouped.withColumn("nid", F.monotonically_increasing_id()), "neardup-nodes")
-    member = nodes.where(F.col("bands").isNotNull()).select("nid", F.explode("bands").alias("key"))
+    member = nodes.where(F.col("bands").isNotNull()).select("nid", F.posexplode("bands").alias("band", "key"))
     buckets = member.groupBy("key").agg(F.min("nid").alias("leader"), F.count("*").alias("n")).where("n > 1")
     rows = stage(member.join(buckets, "key").where("nid <> leader"), "neardup-buckets")
     pairs = stage(rows.select(F.col("leader").alias("a"), F.col("nid").alias("b")).distinct(), "neardup-pairs")
@@ -341,17 +420,23 @@ def classes(docs: DataFrame) -> DataFrame:
     comps = components(links)
 
     measured = rows.join(scored.withColumnsRenamed({"a": "leader", "b": "nid"}), ["leader", "nid"]).withColumn("d", 1 - F.col("sim"))
-    open_keys = measured.where(F.col("sim") < SIMILARITY).groupBy("key").agg(F.count("*").alias("open"))
+    open_keys = measured.where(F.col("sim") < SIMILARITY).select("key").distinct()
     # a bucket whose only other member is far from its leader is decided
-    left = measured.join(open_keys, "key").where("n > 2").join(nodes.select("nid", "s1", "s2"), "nid")
-    left = stage(left.select("key", "nid", "d", "s1", "s2", "n"), "neardup-left")
-    for everything in (False, True):
-        found = left.join(comps, "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
-        more = stage(undecided(found, everything), "neardup-more")
-        if more.isEmpty():
-            continue
-        links = stage(links.unionByName(verify(more, texts, idf).where(F.col("sim") >= SIMILARITY).select("a", "b")), "neardup-links")
+    left = measured.where("n > 2").join(open_keys, "key", "left_semi").join(nodes.select("nid", "sketch", "total"), "nid")
+    left = stage(left.select("key", "band", "nid", "d", "n", "sketch", "total"), "neardup-left")
+
+    def with_components() -> DataFrame:
+        return left.join(comps, "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
+
+    best = stage(best_partners(with_components()), "neardup-best")
+    if not best.isEmpty():
+        links = stage(links.unionByName(verify(best, texts, idf).where(F.col("sim") >= SIMILARITY).select("a", "b")), "neardup-links")
         comps = components(links)
+        still = stage(partnered(with_components()), "neardup-still")
+        if not still.isEmpty():
+            open_rows = with_components().join(still, ["key", "nid"], "left_semi").join(texts, "nid").join(nodes.select("nid", "bands"), "nid")
+            links = stage(links.unionByName(resolve(open_rows, idf)), "neardup-links")
+            comps = components(links)
 
     placed = nodes.select("nid", "tid", "rep").join(comps, "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
     named = placed.join(placed.groupBy("comp").agg(F.min("rep").alias("class_id")), "comp").select("tid", "class_id")
@@ -361,10 +446,10 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that stand for their class: one of each, and every row without a text."""
-    kept = classes(docs).where(F.col("tid").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept_id"), "tid").distinct()
-    given = docs.where(F.col("text").isNotNull()).withColumn("kept_tid", F.unhex(F.md5("text")))
+    kept = classes(docs).where(F.col("tid").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept_id"), F.col("tid").alias("_kept_tid")).distinct()
+    given = docs.where(F.col("text").isNotNull()).withColumn("_own_tid", F.unhex(F.md5("text")))
     # of a class whose smallest id stands on several texts each of those rows is kept once
-    out = given.join(kept, (given.kept_tid == kept.tid) & given.doc_id.eqNullSafe(kept.kept_id)).dropDuplicates(["kept_tid", "kept_id"])
+    out = given.join(kept, (given["_own_tid"] == kept["_kept_tid"]) & given["doc_id"].eqNullSafe(kept["_kept_id"])).dropDuplicates(["_own_tid", "_kept_id"])
     return out.select(*docs.columns).unionByName(docs.where(F.col("text").isNull()))
 
 
