@@ -198,6 +198,21 @@ def kww_fit(spark, sf_dir):
     return series.fit_curves(curves.withColumn("time", F.col("lag").cast("double")), ["onset"])
 
 
+@query("quick_tau")
+def quick_tau(spark, sf_dir):
+    """Times of decay to 1/e of the scattering functions, one for each onset."""
+    curves = correlation.shifted_correlation(embedding_positions(spark, sf_dir), correlation.isf(Q), PLAN)
+    return series.quick_taus(curves.withColumn("time", F.col("lag").cast("double")), ["onset"])
+
+
+@query("superpose")
+def superpose(spark, sf_dir):
+    """The scattering function at short times and at times stretched by 2.5, as one curve."""
+    curve = _isf_curve(spark, sf_dir).where("t > 0").select(F.col("t").alias("time"), F.col("c").alias("value"))
+    later = _isf_curve(spark, sf_dir).where("t > 0").select((F.col("t") * 2.5).alias("time"), F.col("c").alias("value"))
+    return series.superposed(curve, later)
+
+
 @query(
     "mean_frames",
     f"""WITH {POSITIONS}, m AS (SELECT frame, atom, avg(x) OVER w AS x, avg(y) OVER w AS y, avg(z) OVER w AS z, count(*) OVER w AS n FROM pos
