@@ -7,8 +7,11 @@ folder. Rows carry digest, shard, offset and length. Metadata columns (width, he
 from ranged reads of the images' headers alone; the payload's columns come from
 ranged reads of whole members.
 
-Images are made and locally deduplicated before the shuffle by digest, so a hot
-text sends one image from each task. A shard's name holds its task attempt, and only shards
+Payloads are not shuffled unless their text is repeated. A first pass counts
+digests and marks those of several rows in a bitmap of fixed size; a second one
+writes the images of all others straight from its tasks, and sends marked ones,
+each once a task, to be written by digest. A bit that several digests share only sends an
+image the longer way. A shard's name holds its task attempt, and only shards
 of attempts that committed are in the index, so a lost executor leaves unused
 files at most.
 
@@ -39,6 +42,8 @@ PNG_MAGIC = b"\x89PNG\r\n\x1a\n"
 #: Bytes from a PNG's start to the end of its header chunk.
 HEADER_BYTES = 33
 _BLOCK = 512
+#: log2 of the bits that mark repeated digests, taken from a digest's first bytes.
+MARK_BITS = 24
 
 
 def payload(text: str | None) -> bytes:
@@ -92,68 +97,111 @@ def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
-def store(docs: DataFrame, folder: str | None = None) -> DataFrame:
-    """Write each distinct text's image into tar shards; the index: digest, shard, offset, length."""
+class _Shards:
+    """Writes images into tar shards of a folder, and keeps their index rows."""
+
+    def __init__(self, folder: str, kind: str) -> None:
+        self.fs, self.folder = filesystem(folder)
+        context = TaskContext.get()
+        self.name = f"{kind}-{context.partitionId():06d}-{context.taskAttemptId()}"
+        self.out, self.at, self.n, self.rows = None, 0, 0, []
+
+    def add(self, digest: bytes, image: bytes) -> None:
+        if self.out is None:
+            self.fs.create_dir(self.folder, recursive=True)
+            self.shard = f"{self.folder}/{self.name}-{self.n:04d}.tar"
+            self.out, self.at, self.n = self.fs.open_output_stream(self.shard), 0, self.n + 1
+        self.out.write(tar_header(f"{digest.hex()}.png", len(image)))
+        self.out.write(image)
+        self.out.write(bytes(-len(image) % _BLOCK))
+        self.rows.append((digest, self.shard, self.at + _BLOCK, len(image), None))
+        self.at += _BLOCK + len(image) + -len(image) % _BLOCK
+        if self.at >= SHARD_BYTES:
+            self.close()
+
+    def close(self) -> None:
+        if self.out is not None:
+            self.out.write(bytes(2 * _BLOCK))
+            self.out.close()
+            self.out = None
+
+    def take(self) -> list[tuple]:
+        held, self.rows = self.rows, []
+        return held
+
+
+MEMBERS = "digest binary, shard string, offset long, length long, image binary"
+
+
+def _members(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 5, kinds, strict=True)], ["digest", "shard", "offset", "length", "image"])
+
+
+def digests(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, digest of each row's payload."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch["text"].to_pylist()
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([len((t or "").encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), pa.array([hashlib.sha256(payload(t)).digest() for t in texts], pa.binary())], ["doc_id", "n_bytes", "digest"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(apply, "doc_id long, n_bytes long, digest binary")
+
+
+def repeated(rows: DataFrame) -> bytes:
+    """A bitmap of 2 ** MARK_BITS bits with those of the digests of several rows."""
+    several = rows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
+    place = F.conv(F.hex(F.substring("digest", 1, MARK_BITS // 8)), 16, 10).cast("long") + 1  # Spark counts positions and buckets from 1
+    parts = several.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    out = bytearray((1 << MARK_BITS) // 8)
+    size = 4096  # bytes of each part
+    for r in parts.collect():
+        out[(r.bucket - 1) * size : r.bucket * size] = r.bits[:size]
+    return bytes(out)
+
+
+def store(docs: DataFrame, folder: str | None = None, rows: DataFrame | None = None) -> DataFrame:
+    """Write each distinct text's image into tar shards; the index: digest, shard, offset, length. ``rows`` are the documents' digests, if at hand."""
     target = folder or scratch(docs.sparkSession, "media-shards")
+    marks = docs.sparkSession.sparkContext.broadcast(repeated(digests(docs.withColumn("doc_id", F.lit(0))) if rows is None else rows))
 
-    def images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards, seen = _Shards(target, "one"), set()
         for batch in batches:
-            digests, made, size = [], [], 0
+            sent, size = [], 0
             for text in batch["text"].to_pylist():
                 samples = payload(text)
                 digest = hashlib.sha256(samples).digest()
-                if digest in seen:
-                    continue
-                if len(seen) >= REMEMBERED:
-                    seen = set()
-                seen.add(digest)
-                digests.append(digest)
-                made.append(encode(samples))
-                size += len(made[-1])
+                place = int.from_bytes(digest[: MARK_BITS // 8], "big")
+                if not marks.value[place >> 3] >> (place & 7) & 1:
+                    shards.add(digest, encode(samples))
+                elif digest not in seen:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(digest)
+                    sent.append((digest, None, None, None, encode(samples)))
+                    size += len(sent[-1][4])
                 if size > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(made, pa.binary())], ["digest", "image"])
-                    digests, made, size = [], [], 0
-            if digests:
-                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(made, pa.binary())], ["digest", "image"])
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, folder_path = filesystem(target)
-        context = TaskContext.get()
-        last, out, at, n = None, None, 0, 0
-        rows: list[tuple] = []
-
-        def close() -> None:
-            nonlocal out
-            if out is not None:
-                out.write(bytes(2 * _BLOCK))
-                out.close()
-                out = None
+                    yield _members(sent)
+                    sent, size = [], 0
+            yield _members(sent + shards.take())
+        shards.close()
 
+    def write_repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards, last = _Shards(target, "many"), None
         for batch in batches:
             for digest, image in zip(batch["digest"].to_pylist(), batch["image"].to_pylist(), strict=True):
-                if digest == last:  # rows are in digest order
-                    continue
+                if digest != last:  # rows are in digest order
+                    shards.add(digest, image)
                 last = digest
-                if out is None:
-                    fs.create_dir(folder_path, recursive=True)
-                    shard = f"{folder_path}/{context.partitionId():06d}-{context.taskAttemptId()}-{n:04d}.tar"
-                    out, at, n = fs.open_output_stream(shard), 0, n + 1
-                out.write(tar_header(f"{digest.hex()}.png", len(image)))
-                out.write(image)
-                out.write(bytes(-len(image) % _BLOCK))
-                rows.append((digest, shard, at + _BLOCK, len(image)))
-                at += _BLOCK + len(image) + -len(image) % _BLOCK
-                if at >= SHARD_BYTES:
-                    close()
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.binary(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["digest", "shard", "offset", "length"])
-                rows = []
-        close()
+            yield _members(shards.take())
+        shards.close()
 
-    made = docs.select("text").mapInArrow(images, "digest binary, image binary")
-    index = made.repartition("digest").sortWithinPartitions("digest").mapInArrow(write, "digest binary, shard string, offset long, length long")
-    return stage(index, "media-index")
+    found = stage(docs.select("text").mapInArrow(write, MEMBERS), "media-members")
+    sent = found.where(F.col("image").isNotNull()).select("digest", "image").repartition("digest").sortWithinPartitions("digest")
+    index = found.where(F.col("image").isNull()).unionByName(stage(sent.mapInArrow(write_repeated, MEMBERS), "media-repeated"))
+    return index.drop("image")
 
 
 def _ranges(batch: pa.RecordBatch, fs_root: str) -> Iterator[tuple[pa.NativeFile, int, int]]:
@@ -208,15 +256,10 @@ def features(index: DataFrame, root: str) -> DataFrame:
 def run(docs: DataFrame) -> DataFrame:
     """Store, describe and read back; a row for each row of ``docs`` with the columns of its media."""
     root = scratch(docs.sparkSession, "media-shards")
-    index = store(docs, root)
+    rows = stage(digests(docs), "media-digests")
+    # the members of a shard are read in their order by one task
+    index = store(docs, root, rows).repartition("shard").sortWithinPartitions("shard", "offset")
     members = features(describe(index, root), root)
-
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch["text"].to_pylist()
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([len((t or "").encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), pa.array([hashlib.sha256(payload(t)).digest() for t in texts], pa.binary())], ["doc_id", "n_bytes", "digest"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(digests, "doc_id long, n_bytes long, digest binary")
     return rows.join(members, "digest").select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bit_depth", F.element_at(F.split("shard", "/"), -1).alias("shard"), "offset", "length"
     )
