@@ -52,7 +52,7 @@ LEAST_AGREEING, BLOCK_MEMBERS, FAN = 75, 1024, 1000
 #: Shingles of the profiles that a block's comparison keeps at hand.
 HELD_SHINGLES = 4_000_000
 #: Words and texts that a task remembers.
-REMEMBERED_WORDS, REMEMBERED_TEXTS = 500_000, 100_000
+REMEMBERED_WORDS, REMEMBERED_TEXTS = 200_000, 100_000
 IDF_RANGE = 0.25
 
 

@@ -41,7 +41,7 @@ LEAST_RATIO, LEAST_G2 = 5.0, 25.0
 #: And at least this share of the strongest window's statistic, which keeps out chance finds among many windows.
 LEAST_SHARE = 0.04
 #: Length differences of windows that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Scores from here on are toxic.
 THRESHOLD = 0.3
 
