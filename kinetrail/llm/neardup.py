@@ -19,8 +19,8 @@ similarity; and if a sketch, a byte of each of the 120 samples, agrees in at lea
 (at 0.8 it agrees in 96 on average, in fewer than 75 with a probability of about 1e-6).
 A first round verifies each member's best such partner in a bucket. The second one
 takes all such pairs that still lie in different components, compares and verifies them inside
-blocks of a bucket's members, each pair in the first band it shares, and returns
-links alone: no list of pairs grows with the square of a group, and no link is
+blocks of a bucket's members, where only those outside the bucket's largest
+component meet all blocks, each pair in the first band it shares, and returns links alone: no list of pairs grows with the square of a group, and no link is
 given up for a bucket's size. Connected components of the links are the classes.
 
 Defined results: equal texts share a class, even empty ones. A null text is a
@@ -264,14 +264,14 @@ def verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
     return both.mapInArrow(compare, "a long, b long, sim double")
 
 
-ROW = ("key", "block", "probe", "nid", "d", "comp", "total", "sketch")
+ROW = ("key", "block", "probe", "nid", "d", "comp", "total", "sketch", "main")
 
 
 def _in_blocks(rows: DataFrame, *more: str) -> DataFrame:
-    """Bucket rows dealt to blocks of their bucket, members first: each row is a member of one block, and a probe of all if its leader is too far."""
+    """Bucket rows dealt to blocks of their bucket, members first: each row is a member of one block, and a probe of all unless it is of the bucket's largest component."""
     rows = rows.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK_MEMBERS)).cast("int"))
     own = rows.withColumn("block", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int")).withColumn("probe", F.lit(0))
-    probes = rows.where(F.col("d") > FAR).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("probe", F.lit(1))
+    probes = rows.where(F.col("comp") != F.col("main")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("probe", F.lit(1))
     both = own.unionByName(probes).select(*ROW, *more)
     return both.repartition("key", "block").sortWithinPartitions("key", "block", "probe", "nid")
 
@@ -283,14 +283,15 @@ class _Block:
     """Members of a block, and which of them a probe may be linked with."""
 
     def __init__(self, members: list[tuple]) -> None:
-        self.ids, self.comps = (np.array([m[k] for m in members], np.int64) for k in (3, 5))
+        self.ids, self.comps, main = (np.array([m[k] for m in members], np.int64) for k in (3, 5, 8))
+        self.probes = self.comps != main
         self.ds, self.totals = (np.array([m[k] for m in members], np.float64) for k in (4, 6))
         self.sketch = np.frombuffer(b"".join(m[7] for m in members), np.uint8).reshape(-1, SAMPLES)
 
     def partners(self, nid: int, d: float, comp: int, total: float, sketch: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Places of the members that may be linked with a probe, and in how many samples they agree; pairs of probes once."""
         close = (self.comps != comp) & (np.abs(self.ds - d) <= FAR) & (np.minimum(self.totals, total) >= (SIMILARITY - 1e-9) * np.maximum(self.totals, total))
-        found = np.flatnonzero(close & ((self.ds <= FAR) | (self.ids > nid)))
+        found = np.flatnonzero(close & (~self.probes | (self.ids > nid)))
         agree = (self.sketch[found] == np.frombuffer(sketch, np.uint8)).sum(axis=1)
         enough = agree >= LEAST_AGREEING
         return found[enough], agree[enough]
@@ -318,7 +319,7 @@ def best_partners(rows: DataFrame) -> DataFrame:
         for members, probes in _blocks_of(batches, ROW):
             block, out = _Block(members), []
             for row in probes:
-                found, agree = block.partners(*row[3:])
+                found, agree = block.partners(*row[3:8])
                 if len(found):
                     y = int(block.ids[found[agree.argmax()]])
                     out.append((min(row[3], y), max(row[3], y)))
@@ -334,7 +335,7 @@ def partnered(rows: DataFrame) -> DataFrame:
         for members, probes in _blocks_of(batches, ROW):
             block, key, out = _Block(members), members[0][0] if members else None, set()
             for row in probes:
-                found, _ = block.partners(*row[3:])
+                found, _ = block.partners(*row[3:8])
                 if len(found):
                     out.add(row[3])
                     out.update(block.ids[found].tolist())
@@ -366,7 +367,7 @@ def resolve(rows: DataFrame, idf: np.ndarray) -> DataFrame:
 
         for members, probes in _blocks_of(batches, names):
             block, links = _Block(members), []
-            bands = np.array([m[10] for m in members], np.int64)
+            bands = np.array([m[11] for m in members], np.int64)
             parent: dict[int, int] = {}
 
             def find(x: int, parent: dict[int, int] = parent) -> int:
@@ -377,10 +378,10 @@ def resolve(rows: DataFrame, idf: np.ndarray) -> DataFrame:
             for row in probes:
                 found, agree = block.partners(*row[3:8])
                 # each pair once, in the first band that it shares
-                here = (bands[found] == np.array(row[10], np.int64)).argmax(axis=1) == row[9]
+                here = (bands[found] == np.array(row[11], np.int64)).argmax(axis=1) == row[10]
                 for k in found[here][np.argsort(-agree[here], kind="stable")]:
                     one, two = find(row[5]), find(int(block.comps[k]))
-                    if one != two and weighted_jaccard(profile(row[3], row[8]), profile(members[k][3], members[k][8])) >= SIMILARITY:
+                    if one != two and weighted_jaccard(profile(row[3], row[9]), profile(members[k][3], members[k][9])) >= SIMILARITY:
                         parent[max(one, two)] = min(one, two)
                         links.append((row[3], members[k][3]))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
@@ -426,7 +427,9 @@ def classes(docs: DataFrame) -> DataFrame:
     left = stage(left.select("key", "band", "nid", "d", "n", "sketch", "total"), "neardup-left")
 
     def with_components() -> DataFrame:
-        return left.join(comps, "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
+        held = left.join(comps, "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
+        largest = held.groupBy("key", "comp").agg(F.count("*").alias("size")).groupBy("key").agg(F.max(F.struct("size", "comp"))["comp"].alias("main"))
+        return held.join(largest, "key")
 
     best = stage(best_partners(with_components()), "neardup-best")
     if not best.isEmpty():
