@@ -130,8 +130,8 @@ def multi_subensemble(positions: DataFrame, kernel: Column, plan: LagPlan, selec
 
 def van_hove_self(positions: DataFrame, plan: LagPlan, edges: Sequence[float]) -> DataFrame:
     """lag, bin, value: share of atoms by displacement, averaged over onsets."""
-    pairs = lag_pairs(positions, plan).withColumn("bin", histogram_bin(norm(*difference()), edges))
-    counts = pairs.groupBy("onset", "lag", "bin").agg(F.count("*").alias("n"))
+    pairs = lag_pairs(positions, plan).select("onset", "lag", norm(*difference()).alias("d"))  # named, so that it is worked out once
+    counts = pairs.groupBy("onset", "lag", histogram_bin(F.col("d"), edges, signed=False).alias("bin")).agg(F.count("*").alias("n"))
     return _per_lag(counts, edges, plan)
 
 
@@ -167,7 +167,7 @@ def van_hove_distinct(positions: DataFrame, plan: LagPlan, edges: Sequence[float
     if not include_self:
         pairs = pairs.where(F.col("a.atom") != F.col("b.atom"))
     d = norm(*(minimum_image(F.col(f"b.{c}") - F.col(f"a.{c}"), F.col(f"a.b{c}")) for c in "xyz"))
-    counts = pairs.groupBy("onset", "lag", histogram_bin(d, edges).alias("bin")).agg(F.count("*").alias("n"))
+    counts = pairs.select("onset", "lag", d.alias("d")).groupBy("onset", "lag", histogram_bin(F.col("d"), edges, signed=False).alias("bin")).agg(F.count("*").alias("n"))
     return _per_lag(counts, edges, plan, _onset_sizes(positions, plan))
 
 

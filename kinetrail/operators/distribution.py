@@ -41,7 +41,8 @@ def rdf(a: DataFrame, edges: Sequence[float], frames: int, b: DataFrame | None =
         same = F.col("a.residue_id") == F.col("b.residue_id")
         pairs = pairs.where({"intra": same, "inter": ~same}[kind])
     volume = F.col("a.bx") * F.col("a.by") * F.col("a.bz")
-    counts = pairs.groupBy("frame", edge_bin(distance(), edges).alias("bin")).agg(F.count("*").alias("n"), F.first(volume).alias("volume"))
+    pairs = pairs.select("frame", distance().alias("d"), volume.alias("volume"))  # named, so that it is worked out once
+    counts = pairs.groupBy("frame", edge_bin(F.col("d"), edges).alias("bin")).agg(F.count("*").alias("n"), F.first("volume").alias("volume"))
     counts = counts.withColumn("all", F.sum("n").over(Window.partitionBy("frame"))).where("bin IS NOT NULL")
     means = counts.groupBy("bin").agg((F.sum(F.col("n") * F.col("volume") / F.col("all")) / frames).alias("v"))
     return means.join(_shell_volumes(a, edges), "bin", "right").select("bin", "mid", F.coalesce(F.col("v") / F.col("shell"), F.lit(0.0)).alias("value"))
@@ -81,7 +82,7 @@ def distance_distribution(positions: DataFrame, edges: Sequence[float]) -> DataF
     """frame, bin, n: distances between consecutive atoms, without images."""
     order = Window.partitionBy("frame").orderBy("atom")
     step = norm(*(F.lead(c).over(order) - F.col(c) for c in "xyz"))
-    return positions.select("frame", edge_bin(step, edges).alias("bin")).where("bin IS NOT NULL").groupBy("frame", "bin").agg(F.count("*").alias("n"))
+    return positions.select("frame", step.alias("d")).select("frame", edge_bin(F.col("d"), edges).alias("bin")).where("bin IS NOT NULL").groupBy("frame", "bin").agg(F.count("*").alias("n"))
 
 
 def tetrahedral_order(positions: DataFrame, reference: DataFrame | None = None) -> DataFrame:

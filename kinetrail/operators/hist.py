@@ -36,15 +36,19 @@ def edge_bin(d: Column, edges: Sequence[float]) -> Column:
     return F.when(inside, F.least(found, F.lit(n - 1)))
 
 
-def fast_bin(d: Column, edges: Sequence[float]) -> Column:
-    """floor division by the mean width; the right edge is outside and negative values raise an error."""
+def fast_bin(d: Column, edges: Sequence[float], signed: bool = True) -> Column:
+    """floor division by the mean width; the right edge is outside and negative values raise an error.
+
+    Lengths cannot be negative: without ``signed`` there is no such test, and the code stays small enough to be compiled.
+    """
     dx, n = float(np.diff(np.asarray(edges, dtype=float)).mean()), len(edges) - 1
-    found = F.round((d - F.pmod(d, F.lit(dx))) / dx).cast("long")
-    return F.when(d < 0, F.raise_error(F.lit("negative value in a histogram from 0")).cast("int")).when(found < n, found.cast("int"))
+    found = F.rint((d - F.pmod(d, F.lit(dx))) / dx).cast("long")  # the quotient is whole but for rounding
+    inside = F.when(found < n, found.cast("int"))
+    return F.when(d < 0, F.raise_error(F.lit("negative value in a histogram from 0")).cast("int")).otherwise(inside) if signed else inside
 
 
-def histogram_bin(d: Column, edges: Sequence[float]) -> Column:
-    return fast_bin(d, edges) if is_fast(edges) else edge_bin(d, edges)
+def histogram_bin(d: Column, edges: Sequence[float], signed: bool = True) -> Column:
+    return fast_bin(d, edges, signed) if is_fast(edges) else edge_bin(d, edges)
 
 
 def middles(edges: Sequence[float]) -> list[float]:

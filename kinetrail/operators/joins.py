@@ -24,13 +24,19 @@ def _tiled(df: DataFrame, own: str, other: str, tiles: int) -> DataFrame:
 
 
 def frame_pairs(a: DataFrame, b: DataFrame | None = None, key: Sequence[str] = ("frame",), tiles: int = TILES) -> DataFrame:
-    """All pairs with equal ``key``, as structs ``a`` and ``b``. Without ``b`` the pairs a.atom < b.atom of one set."""
-    held = [c for c in a.columns if c not in key]
-    left = _tiled(a, "ta", "tb", tiles).select(*key, "ta", "tb", F.struct(*held).alias("a"))
+    """All pairs with equal ``key``, as structs ``a`` and ``b``. Without ``b`` the pairs a.atom < b.atom of one set.
+
+    Both sides are shuffled by (key, tiles), whatever their size: pairs are many
+    more than rows, and a broadcast would leave them to as many tasks as the scan has.
+    A merge join spills where a tile is large.
+    """
     other = a if b is None else b
+    left = _tiled(a, "ta", "tb", tiles).select(*key, "ta", "tb", F.struct(*(c for c in a.columns if c not in key)).alias("a"))
     right = _tiled(other, "tb", "ta", tiles).select(*key, "ta", "tb", F.struct(*(c for c in other.columns if c not in key)).alias("b"))
-    pairs = left.join(right, [*key, "ta", "tb"]).drop("ta", "tb")
-    return pairs.where(F.col("a.atom") < F.col("b.atom")) if b is None else pairs
+    on = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in (*key, "ta", "tb")]
+    if b is None:
+        on.append(F.col("a.atom") < F.col("b.atom"))
+    return left.alias("l").join(right.alias("r").hint("merge"), on).select(*(F.col(f"l.{k}").alias(k) for k in key), "a", "b")
 
 
 def deltas(box: bool = True) -> tuple[Column, Column, Column]:
