@@ -2,7 +2,7 @@
 
 An ordinary dictionary is trained on ordinary text: its most frequent windows.
 A toxic one is trained on toxic text: the windows that toxic documents hold
-significantly more often, laid before the same frequent ones. A window (a word)
+significantly more often, however many those are, laid before the same frequent ones. A window (a word)
 is compressed inside a fixed carrier with either dictionary. As both share the
 frequent material, the lengths are equal for ordinary windows, and a window
 whose length falls by the calibrated number of bytes counts as a hit. A
@@ -10,7 +10,8 @@ logistic curve, fitted on a fold that the dictionaries have not seen, turns a
 document's hits into a score.
 
 The dictionaries learn from at most ``max_rows`` labelled rows of each class,
-those with the smallest id hash; scores are given to every row.
+those with the smallest id hash, and from each distinct text among them once;
+scores are given to every row.
 
 Defined results: null and empty texts have no window and get the score of a
 text without hits. Without both classes among the labels every score is 0.
@@ -34,8 +35,8 @@ from .common import fold, stage
 
 #: Labelled rows of either class that the dictionaries are trained on, at most.
 MAX_ROWS = 20_000
-#: Bytes of the dictionary parts, and of the carrier before each window.
-ORDINARY_BYTES, TOXIC_BYTES, CARRIER_BYTES = 4096, 512, 120
+#: Bytes of the ordinary dictionary, and of the carrier before each window.
+ORDINARY_BYTES, CARRIER_BYTES = 4096, 120
 #: A toxic window is held so many times as often by toxic documents, with this likelihood-ratio statistic.
 LEAST_RATIO, LEAST_G2 = 5.0, 25.0
 #: And at least this share of the strongest window's statistic, which keeps out chance finds among many windows.
@@ -70,8 +71,10 @@ class ToxicityModel:
         self._ready = False
 
     def _prepare(self) -> None:
+        # the window and the search tables hold the larger dictionary, for both alike
+        log = max(13, (len(self.toxic) + len(self.ordinary) + 1024).bit_length())
         options = zstandard.ZstdCompressionParameters(
-            format=zstandard.FORMAT_ZSTD1_MAGICLESS, strategy=zstandard.STRATEGY_BTLAZY2, min_match=3, window_log=13, hash_log=12, chain_log=14, search_log=6,
+            format=zstandard.FORMAT_ZSTD1_MAGICLESS, strategy=zstandard.STRATEGY_BTLAZY2, min_match=3, window_log=log, hash_log=log - 1, chain_log=log + 1, search_log=6,
             write_content_size=0, write_checksum=0, write_dict_id=0,
         )
 
@@ -141,7 +144,7 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[np.ndarray,
     return w, float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
 
 
-def _joined(ordered: list[bytes], size: int) -> bytes:
+def _joined(ordered: list[bytes], size: float = math.inf) -> bytes:
     """The first windows that fit, the best last, where matches are cheapest."""
     held, n = [], 0
     for window in ordered:
@@ -163,8 +166,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Toxic
         ids = some if ids is None else ids.unionByName(some)
     # at most 2 * max_rows ids
     picked = docs.select("doc_id", "text").join(F.broadcast(ids.select("doc_id", "toxic")), "doc_id")
-    picked = stage(picked.withColumn("fold", fold("doc_id", 4).cast("int")), "toxicity-labelled")
-    sizes = {r.toxic: r.n for r in picked.where("fold != 3").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    # a text in several rows counts once, as toxic if one label says so
+    picked = picked.groupBy("text", (fold("doc_id", 4) == 3).alias("calibrating")).agg(F.max("toxic").alias("toxic"))
+    picked = stage(picked, "toxicity-labelled")
+    sizes = {r.toxic: r.n for r in picked.where("NOT calibrating").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
         return ToxicityModel(b"", b"")
 
@@ -183,14 +188,14 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Toxic
                 held = {}
         yield out()
 
-    counted = picked.where("fold != 3").select("text", "toxic").mapInArrow(count, "window binary, ordinary long, toxic long")
+    counted = picked.where("NOT calibrating").select("text", "toxic").mapInArrow(count, "window binary, ordinary long, toxic long")
     counted = stage(counted.groupBy("window").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")), "toxicity-windows")
     share, own = (F.col("toxic") + 0.5) / (sizes[1] + 1), (F.col("ordinary") + 0.5) / (sizes[0] + 1)
     both = (F.col("toxic") + F.col("ordinary") + 1) / (sizes[0] + sizes[1] + 2)
     g2 = 2 * ((F.col("toxic") + 0.5) * F.log(share / both) + (F.col("ordinary") + 0.5) * F.log(own / both))
     marked = counted.where(F.col("toxic") >= 3).withColumn("g2", g2).where((F.col("g2") >= LEAST_G2) & (share >= LEAST_RATIO * own))
-    strongest = marked.orderBy(F.desc("g2"), "window").limit(TOXIC_BYTES).collect()
-    toxic = _joined([bytes(r.window) for r in strongest if r.g2 >= LEAST_SHARE * strongest[0].g2], TOXIC_BYTES)
+    strongest = marked.orderBy(F.desc("g2"), "window").collect()
+    toxic = _joined([bytes(r.window) for r in strongest if r.g2 >= LEAST_SHARE * strongest[0].g2])
     ordinary = _joined([bytes(r.window) for r in counted.orderBy(F.desc("ordinary"), "window").limit(ORDINARY_BYTES).collect()], ORDINARY_BYTES)
     model = ToxicityModel(ordinary, toxic)
     shared = spark.sparkContext.broadcast(model)
@@ -201,7 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Toxic
             yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array([list(g.items()) for g, _ in rows], pa.map_(pa.int32(), pa.int32())), pa.array([n for _, n in rows], pa.int32())], ["toxic", "gains", "n"])
 
     # at most max_rows small rows of either class
-    seen = picked.where("fold = 3").select("text", "toxic").mapInArrow(profile, "toxic int, gains map<int,int>, n int").collect()
+    seen = picked.where("calibrating").select("text", "toxic").mapInArrow(profile, "toxic int, gains map<int,int>, n int").collect()
     if not seen:
         return model
     y, best = np.array([r.toxic for r in seen], dtype=float), math.inf

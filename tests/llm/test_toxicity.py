@@ -50,3 +50,24 @@ def test_no_labels_and_odd_rows(spark, rng):
 def test_gain_is_zero_for_windows_that_neither_dictionary_holds():
     model = toxicity.ToxicityModel(b" the and with other thing", b" snotwaffle")
     assert model.gain(b"zzzz") == 0 and model.gain(b"snotwaffle") > 3
+
+
+def test_every_significant_window_is_in_the_dictionary(spark, rng):
+    # many toxic words of one strength, more than 512 bytes of them
+    bad = [f"snot{''.join(rng.choices('bcdfgklmprvxz', k=8))}" for _ in range(80)]
+    texts, labels = [], []
+    for k in range(800):
+        toxic = k % 4 == 0
+        texts.append(words(rng, 40) + " " + " ".join(rng.sample(bad, 20) if toxic else []))
+        labels.append((k, 1, int(toxic)))
+    model = toxicity.train(documents(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert set(b.encode() for b in bad) <= set(model.toxic.split())
+
+
+def test_copies_of_one_toxic_text_teach_no_more_than_the_text(spark, rng):
+    docs, labels = corpus(spark, rng)
+    own = " ".join(f"plainword{k}" for k in range(100))
+    copies = documents(spark, [own + " nitwit"] * 100, first=1000)
+    marked = spark.createDataFrame([(k, 1, 1) for k in range(1000, 1100)], labels.schema)
+    held = set(toxicity.train(docs.unionByName(copies), labels.unionByName(marked)).toxic.split())
+    assert {b"grumblefoot", b"snotwaffle", b"nitwit"} <= held and not held & set(own.encode().split())
