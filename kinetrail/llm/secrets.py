@@ -9,7 +9,7 @@ is a ``markov`` span, unless it overlaps a base span.
 Both models are trained from labelled samples: random strings from a seeded
 generator over the alphabets that keys are written in, together with the values
 that the patterns found; ordinary identifiers from every other word of all
-documents, and compounds of those (snake_case, camelCase, dotted, numbered).
+documents, and compounds of all of those (snake_case, camelCase, slashed, numbered).
 
 Positions are code points, ends exclusive. Defined results: null and empty
 texts have no span; matches that a kind's bounds reject are dropped and still
@@ -43,6 +43,8 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 LEAST_LENGTH = 16
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
+#: Words that compounds are made of at once, a multiple of 300 so that slices give what the whole gives.
+COMPOUND_WORDS = 30_000
 #: Bounds of the log-likelihood ratio, in nats: mean over the characters, and sum.
 LEAST_MEAN, LEAST_SUM = 0.5, 12.0
 _CODE = np.full(256, len(ALPHABET), dtype=np.int64)
@@ -136,7 +138,8 @@ def train(docs: DataFrame, alpha: float = 0.5) -> MarkovPair:
                 counts[0] += transitions([v.encode() for v in values])
                 words = " ".join(rest).encode("ascii", "replace").split()
                 counts[1] += transitions(words)
-                counts[1] += transitions(compounds(words[:300]))
+                for first in range(0, len(words), COMPOUND_WORDS):
+                    counts[1] += transitions(compounds(words[first : first + COMPOUND_WORDS]))
         for kind in (0, 1):
             cells = np.flatnonzero(counts[kind])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cells), kind), pa.int32()), pa.array(cells, pa.int32()), pa.array(counts[kind][cells], pa.int64())], ["kind", "cell", "n"])

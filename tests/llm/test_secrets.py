@@ -72,3 +72,11 @@ def test_redaction(spark, model):
     got = secrets.redact(docs, model).orderBy("doc_id").collect()
     assert got[0].text == "key: [SECRET] end" and got[0].n_chars == len(got[0].text)
     assert got[1].text is None and got[2].text == "nothing" and got[0].spans == "x"
+
+
+def test_compounds_come_from_the_whole_text(spark, monkeypatch):
+    text = "plain " * 300 + "zq qz zq " * 40
+    whole = secrets.train(documents(spark, [text])).ratio
+    assert whole[secrets.codes(b"q")[0], secrets.codes(b"_")[0]] < secrets.train(documents(spark, ["plain " * 300])).ratio[secrets.codes(b"q")[0], secrets.codes(b"_")[0]]
+    monkeypatch.setattr(secrets, "COMPOUND_WORDS", 300)
+    assert (secrets.train(documents(spark, [text])).ratio == whole).all()
