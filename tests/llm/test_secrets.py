@@ -80,3 +80,35 @@ def test_compounds_come_from_the_whole_text(spark, monkeypatch):
     assert whole[secrets.codes(b"q")[0], secrets.codes(b"_")[0]] < secrets.train(documents(spark, ["plain " * 300])).ratio[secrets.codes(b"q")[0], secrets.codes(b"_")[0]]
     monkeypatch.setattr(secrets, "COMPOUND_WORDS", 300)
     assert (secrets.train(documents(spark, [text])).ratio == whole).all()
+
+
+def test_the_registered_query_finds_planted_strings(spark, sf, tmp_path):
+    planted = [s.decode() for s in secrets.random_strings(120, seed=123)]
+    docs = table(spark, sf, "documents")
+    more = documents(spark, [f"the inner value {s} was seen there" for s in planted], first=1_000_000)
+    docs.select(*more.columns).unionByName(more).write.parquet(f"{tmp_path}/documents.parquet")
+    from kinetrail.llm import queries
+
+    rows = {r.doc_id: r for r in queries.queries()["op1_secret_scan"](spark, str(tmp_path)).collect()}
+    found = 0
+    for k, s in enumerate(planted):
+        spans = [x.split(":") for x in rows[1_000_000 + k].spans.split(",") if x]
+        found += any(int(a) <= 16 and int(b) >= 16 + len(s) for _, a, b in spans)
+    assert found >= 0.95 * len(planted)
+    # and next to nothing in what was there before
+    assert sum(r.n_markov for i, r in rows.items() if i < 1_000_000) <= 2
+
+
+def test_scores_equal_a_product_of_transitions(model):
+    for value in (b"aB3dE6gH9jK2", b"the_word", b"x"):
+        want = sum(model.ratio[secrets.codes(value)[k], secrets.codes(value)[k + 1]] for k in range(len(value) - 1)) / len(value) ** 0.5
+        assert secrets.scores([b"other", value, b""], model.ratio)[1] == pytest.approx(want)
+
+
+def test_the_bound_parts_held_out_samples():
+    ordinary = {-20: 50_000, 40: 49_995, 100: 5}
+    # 10 of 100,000 may be wrong: the 5 best are, the next bin's are not
+    assert secrets.bound_of(ordinary, secrets.np.full(100, 20.0)) == pytest.approx((41 * secrets.STEP + 20) / 2)
+    # where the classes overlap the ordinary strings decide
+    assert secrets.bound_of(ordinary, secrets.np.full(100, 1.0)) == pytest.approx(41 * secrets.STEP)
+    assert secrets.bound_of({}, secrets.np.full(100, 8.0)) == pytest.approx(4.0)
