@@ -1,4 +1,6 @@
+import numpy as np
 from conftest import CLASHING, documents, fold, odd_documents, words
+from pyspark.sql import functions as F
 
 from kinetrail.llm import toxicity
 
@@ -28,6 +30,13 @@ def test_held_out_accuracy(spark, rng):
     assert sum(r.predicted == truth[r.doc_id] for r in out) >= 0.95 * len(out)
 
 
+def test_held_out_accuracy_on_the_table(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.run(docs, labels).where("held_out").join(labels, "doc_id").toPandas()
+    assert (got[got.toxic == 0].predicted == 0).mean() >= 0.95
+    assert got[got.toxic == 1].predicted.mean() >= 0.5  # some thirty labelled texts teach this much
+
+
 def test_held_out_labels_teach_nothing(spark, rng):
     docs, labels = corpus(spark, rng, 200)
     flipped = spark.createDataFrame([(r.doc_id, r.quality, 1 - r.toxic if fold(r.doc_id, 4) == 2 else r.toxic) for r in labels.collect()], labels.schema)
@@ -43,31 +52,54 @@ def test_no_labels_and_odd_rows(spark, rng):
     got = toxicity.score(odd_documents(spark, CLASHING), model).orderBy("doc_id").collect()
     assert len(got) == 12 and got[0].score == got[1].score == got[2].score and got[0].predicted == 0
     assert toxicity.score(documents(spark, []), model).count() == 0
-    kept = toxicity.keep_clean(odd_documents(spark, CLASHING).unionByName(documents(spark, ["nitwit snotwaffle grumblefoot nitwit"], first=99, extra=CLASHING)), model)
-    assert sorted(r.doc_id for r in kept.collect()) == list(range(12)) and set(CLASHING) < set(kept.columns)
+    bad = "nitwit snotwaffle grumblefoot nitwit snotwaffle snotwaffle grumblefoot grumblefoot nitwit"
+    kept = toxicity.keep_clean(odd_documents(spark, CLASHING).unionByName(documents(spark, [bad], first=99, extra=CLASHING)), model)
+    assert 99 not in {r.doc_id for r in kept.collect()} and set(CLASHING) < set(kept.columns)
 
 
-def test_gain_is_zero_for_windows_that_neither_dictionary_holds():
-    model = toxicity.ToxicityModel(b" the and with other thing", b" snotwaffle")
-    assert model.gain(b"zzzz") == 0 and model.gain(b"snotwaffle") > 3
+def test_windows_cover_all_words():
+    for n in (0, 1, 7, 8, 9, 12, 13, 1000):
+        text = [f"w{k}" for k in range(n)]
+        held = [w.decode().split() for w in toxicity.windows(" ".join(text))]
+        assert {x for w in held for x in w} == set(text) and all(len(w) <= toxicity.WINDOW for w in held)
+        assert all(w == text[k * toxicity.STRIDE : k * toxicity.STRIDE + toxicity.WINDOW] for k, w in enumerate(held))
+    assert toxicity.windows(None) == []
 
 
-def test_every_significant_window_is_in_the_dictionary(spark, rng):
-    # many toxic words of one strength, more than 512 bytes of them
-    bad = [f"snot{''.join(rng.choices('bcdfgklmprvxz', k=8))}" for _ in range(80)]
-    texts, labels = [], []
-    for k in range(800):
-        toxic = k % 4 == 0
-        texts.append(words(rng, 40) + " " + " ".join(rng.sample(bad, 20) if toxic else []))
-        labels.append((k, 1, int(toxic)))
-    model = toxicity.train(documents(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
-    assert set(b.encode() for b in bad) <= set(model.toxic.split())
+def test_histogram_and_score_equal_the_lengths_one_by_one(rng):
+    base, toxic = words(rng, 300).encode(), b" grumblefoot snotwaffle nitwit " * 4
+    model = toxicity.ToxicityModel(base, words(rng, 20).encode(), toxic, [-2.0] + [0.01 * k for k in range(25)])
+    text = words(rng, 50) + " snotwaffle " + words(rng, 50) + " nitwit"
+    want = {}
+    for window in toxicity.windows(text):
+        a, b = (len(toxicity.compressor(own + base).compress(window)) for own in (model.ordinary, toxic))
+        assert model.lengths(window) == (a, b)
+        gain = max(toxicity.LEAST_GAIN, min(toxicity.MOST_GAIN, a - b))
+        want[gain] = want.get(gain, 0) + 1
+    got = model.histogram(text)
+    assert {k + toxicity.LEAST_GAIN: n for k, n in enumerate(got.tolist()) if n} == want and max(want) > 3
+    z = sum(w * x for w, x in zip(model.weights, model.features(got)[0].tolist(), strict=False))
+    assert abs(model.score(text) - 1 / (1 + np.exp(-z))) < 1e-12
+
+
+def test_dictionaries_are_trained_apart(rng):
+    plain = [f" {words(rng, 8)} ".encode() for _ in range(4000)]
+    marked = [w if k % 6 else w[:12] + b" snotwaffle " + w[12:] for k, w in enumerate(plain)]
+    model = toxicity.dictionaries(plain[:2000], (plain[2000:3000], plain[3000:]), (marked[:2000], marked[2000:]))
+    assert b"snotwaffle" in model.toxic and b"snotwaffle" not in model.base + model.ordinary
+    ordinary, toxic = model.lengths(b" the snotwaffle and other ones here again ")
+    assert ordinary - toxic >= 4
 
 
 def test_copies_of_one_toxic_text_teach_no_more_than_the_text(spark, rng):
     docs, labels = corpus(spark, rng)
-    own = " ".join(f"plainword{k}" for k in range(100))
-    copies = documents(spark, [own + " nitwit"] * 100, first=1000)
-    marked = spark.createDataFrame([(k, 1, 1) for k in range(1000, 1100)], labels.schema)
-    held = set(toxicity.train(docs.unionByName(copies), labels.unionByName(marked)).toxic.split())
-    assert {b"grumblefoot", b"snotwaffle", b"nitwit"} <= held and not held & set(own.encode().split())
+    own = " ".join(f"plainword{k}" for k in range(100)) + " nitwit"
+    first = next(k for k in range(1000, 1100) if fold(k, 4) < 2)
+
+    def dictionaries(ids):
+        copies = documents(spark, [own] * len(ids)).withColumn("doc_id", F.element_at(F.array(*map(F.lit, ids)), F.col("doc_id").cast("int") + 1).cast("long"))
+        marked = spark.createDataFrame([(k, 1, 1) for k in ids], labels.schema)
+        model = toxicity.train(docs.unionByName(copies), labels.unionByName(marked))
+        return model.base, model.ordinary, model.toxic
+
+    assert dictionaries([first]) == dictionaries([k for k in range(1000, 1100) if fold(k, 4) != 3])
