@@ -1,7 +1,7 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 The counts of every training text meet in one matrix of classes x buckets whose
-size does not depend on the corpus. Its log-probabilities are broadcast, and
+size does not depend on the corpus; more than ``MAX_LANGUAGES`` languages raise an error. Its log-probabilities are broadcast, and
 batches of texts are scored with numpy gathers and segment sums.
 
 Defined results: a null text, an empty one and one without any letter get
@@ -27,6 +27,8 @@ from .common import fold, pack, salt, segment_sums, slices, sum_arrays, unpack
 #: n-gram lengths, and log2 of the number of hash buckets.
 ORDERS, BITS = (1, 2, 3), 16
 UNDETERMINED = "und"
+#: Classes that the matrix may have: 256 x 65,536 log-probabilities are 64 MB.
+MAX_LANGUAGES = 256
 
 
 @functools.cache
@@ -102,6 +104,8 @@ def train(docs: DataFrame, alpha: float = 0.1) -> LanguageModel:
             yield pa.RecordBatch.from_pydict({"key": [lang], "salt": pa.array([salt()], pa.int32()), "payload": [pack(held)]})
 
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
+    if known.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     rows = sum_arrays(known.mapInArrow(count, "key string, salt int, payload binary"), "int64").orderBy("key").collect()
     counts = np.array([unpack(r.payload, "int64") for r in rows], dtype=np.float64).reshape(len(rows), (1 << BITS) + 1)
     grams = counts[:, :-1] + alpha
