@@ -16,8 +16,8 @@ a window by query. The rows of a block are in id order, so a smaller id is a
 smaller position.
 
 Defined results: a vector that is null or holds a null or non-finite component takes
-no part, nor does a row with a null id. Vectors of another length than the first
-block's longest are padded with zeros. Repeated ids are separate rows; a
+no part, nor does a row with a null id. Of vectors of different lengths the shorter
+one counts as padded with zeros; an empty one takes part and scores 0. Repeated ids are separate rows; a
 query's own id is never its candidate. Queries that repeat an id are answered once for
 each distinct vector row. With fewer than k candidates all are returned.
 """
@@ -198,9 +198,10 @@ def search(vectors: DataFrame, k: int = K, modulus: int = QUERY_MODULUS, scale:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                block = Block(unpack(r["row_ids"], "int64"), unpack(r["row_values"], "int64").reshape(-1, r["row_width"]))
+                row_ids = unpack(r["row_ids"], "int64")
+                block = Block(row_ids, unpack(r["row_values"], "int64").reshape(len(row_ids), r["row_width"]))
                 ids = unpack(r["ids"], "int64")
-                values = unpack(r["values"], "int64").reshape(-1, r["width"])
+                values = unpack(r["values"], "int64").reshape(len(ids), r["width"])
                 got = [(q, n, *block.top(v, int(q), k)) for n, (q, v) in enumerate(zip(ids, values, strict=True))]
                 lengths = [len(x[2]) for x in got]
                 yield pa.RecordBatch.from_arrays(
