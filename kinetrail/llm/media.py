@@ -15,6 +15,9 @@ image the longer way. A shard's name holds its task attempt, and only shards
 of attempts that committed are in the index, so a lost executor leaves unused
 files at most.
 
+The folder's file system is the one that Spark's configuration names for it (local, HDFS or an object
+store); other schemes raise an error before any job starts.
+
 Defined results: null and empty texts are 64 zero bytes. Equal texts get equal
 values and one stored image. Repeated rows give repeated rows.
 """
@@ -30,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import scratch, stage
@@ -93,8 +96,27 @@ def tar_header(name: str, size: int) -> bytes:
     return bytes(held)
 
 
-def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+#: Schemes of Spark's paths that this module can read and write, and their names in pyarrow.
+SCHEMES = {"file": "file", "hdfs": "hdfs", "viewfs": "viewfs", "s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs"}
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme that Spark's own configuration gives it, so that shards and index lie in one file system; an error for schemes without a driver."""
+    jvm = spark._jvm  # noqa: SLF001
+    held = jvm.org.apache.hadoop.fs.Path(path)
+    # of a scheme that Hadoop cannot open either this raises
+    uri = held.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(held).toUri()  # noqa: SLF001
+    if uri.getScheme() not in SCHEMES:
+        raise ValueError(f"media shards cannot be written to a path of scheme {uri.getScheme()!r}: {path}")
+    return uri.toString()
+
+
+def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a qualified path, and the path in it."""
+    scheme, _, rest = uri.partition(":")
+    if scheme not in SCHEMES:
+        raise ValueError(f"not a qualified path: {uri}")
+    return (pafs.LocalFileSystem(), "/" + rest.lstrip("/")) if scheme == "file" else pafs.FileSystem.from_uri(f"{SCHEMES[scheme]}:{rest}")
 
 
 class _Shards:
@@ -163,7 +185,7 @@ def repeated(rows: DataFrame) -> bytes:
 
 def store(docs: DataFrame, folder: str | None = None, rows: DataFrame | None = None) -> DataFrame:
     """Write each distinct text's image into tar shards; the index: digest, shard, offset, length. ``rows`` are the documents' digests, if at hand."""
-    target = folder or scratch(docs.sparkSession, "media-shards")
+    target = qualified(docs.sparkSession, folder or scratch(docs.sparkSession, "media-shards"))
     marks = docs.sparkSession.sparkContext.broadcast(repeated(digests(docs.withColumn("doc_id", F.lit(0))) if rows is None else rows))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +277,7 @@ def features(index: DataFrame, root: str) -> DataFrame:
 
 def run(docs: DataFrame) -> DataFrame:
     """Store, describe and read back; a row for each row of ``docs`` with the columns of its media."""
-    root = scratch(docs.sparkSession, "media-shards")
+    root = qualified(docs.sparkSession, scratch(docs.sparkSession, "media-shards"))
     rows = stage(digests(docs), "media-digests")
     # the members of a shard are read in their order by one task
     index = store(docs, root, rows).repartition("shard").sortWithinPartitions("shard", "offset")
