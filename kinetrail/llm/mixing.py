@@ -16,7 +16,8 @@ so documents are selected by a filter and their texts are never shuffled.
 Statistics of the leaves, at most ``MAX_LEAVES``, go to the driver and back as a
 broadcast; more leaves raise an error.
 
-Defined results: null language, source or domain are a value of their own.
+Defined results: null languages and sources are a value of their own; a source without a number
+at its end, a null one too, is of domain0.
 Rows that share a doc_id share its place in the order and are selected
 together. Null and empty texts have 0 tokens. Children without a weight have
 weight 1; those of weight 0 get nothing. An empty table gives no rows.
@@ -40,7 +41,7 @@ LEVELS = ("domain", "lang", "source")
 
 
 def domain_of(source: str = "source") -> Column:
-    """The domain of a source: its number modulo 4."""
+    """The domain of a source: its number modulo 4, 0 without one."""
     return F.concat(F.lit("domain"), (F.coalesce(F.regexp_extract(F.col(source), r"(\d{1,9})$", 1).try_cast("int"), F.lit(0)) % 4).cast("string"))
 
 
