@@ -3,7 +3,8 @@
 Documents predicted toxic go; one document of each group of near-duplicates
 stays; secrets in the texts are replaced by a mark; sources are mixed to target
 weights; what is left is packed into length buckets. The last stage adds the
-packing columns, the others return the columns of ``documents``.
+packing columns to those of ``documents``, the redacted texts among them; the others return
+the columns of ``documents``.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ from kinetrail.llm import mixing, neardup, packing, secrets, toxicity
 from kinetrail.llm.common import stage, table
 from kinetrail.session import ship
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Share of the tokens that the mix keeps.
 MIX_SHARE = 0.9
 
@@ -41,7 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return packing.pack(docs, carry=tuple(c for c in COLUMNS[1:] if c != "text"))
+    return packing.pack(docs, carry=tuple(c for c in docs.columns if c != "doc_id"))
 
 
 STAGES = [
