@@ -23,8 +23,8 @@ from .joins import frame_pairs, within
 
 
 def log_indices(first: int, last: int, num: int = 100) -> np.ndarray:
-    """Distinct integers, evenly spaced on a log scale."""
-    return np.unique(np.int_(np.logspace(0, np.log10(last - first + 1), num=num)) - 1 + first)
+    """Distinct integers, evenly spaced on a log scale; what rounding leaves just below a whole number, by the machine, counts as it."""
+    return np.unique(np.int_(np.logspace(0, np.log10(last - first + 1), num=num) + 1e-9) - 1 + first)
 
 
 @dataclass(frozen=True)
@@ -73,8 +73,9 @@ def lag_pairs(positions: DataFrame, plan: LagPlan, columns: Sequence[str] = ("x"
     def at(frame: Column, place: Column) -> Column:
         return F.when(F.size("all") == len(frames), F.get("all", place)).otherwise(F.get(F.filter("all", lambda e: e["frame"] == frame), F.lit(0)))
 
-    out = held.select("atom", *carry, "all", F.explode(pairs).alias("p"))
-    out = out.select("atom", *carry, F.col("p.onset").alias("onset"), F.col("p.lag").alias("lag"), at(F.col("p.onset"), F.col("p.i")).alias("a"), at(F.col("p.frame"), F.col("p.j")).alias("b"))
+    # pairs are cut out before rows are multiplied, so no row carries the whole array
+    cut = F.transform(pairs, lambda p: F.struct(p["onset"].alias("onset"), p["lag"].alias("lag"), at(p["onset"], p["i"]).alias("a"), at(p["frame"], p["j"]).alias("b")))
+    out = held.select("atom", *carry, F.inline(cut))
     return out.where(F.col("a").isNotNull() & F.col("b").isNotNull())
 
 
@@ -103,29 +104,35 @@ def non_gaussian() -> Column:
     return F.try_divide(F.lit(0.6) * F.avg(r2 * r2), F.avg(r2) * F.avg(r2)) - 1
 
 
-def shifted_correlation(positions: DataFrame, kernel: Column, plan: LagPlan, average: bool = False, columns: Sequence[str] = ("x", "y", "z"), selector: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def shifted_correlation(positions: DataFrame, kernel: Column, plan: LagPlan, average: bool = False, columns: Sequence[str] = ("x", "y", "z"), selector: Callable[[DataFrame], DataFrame] | None = None, correlation: Callable[..., DataFrame] = lag_pairs) -> DataFrame:
     """onset, lag, value of an aggregate kernel over (a, b); lag, value averaged over onsets if asked for.
 
     ``selector`` filters pairs by their onset side, ``a``: a subensemble is chosen at the onset and followed.
+    ``correlation`` makes the pairs from (positions, plan, columns): onset, lag, a, b and whatever else the kernel reads.
     """
-    pairs = lag_pairs(positions, plan, columns)
+    pairs = correlation(positions, plan, columns)
     if selector is not None:
         pairs = selector(pairs)
     values = pairs.groupBy("onset", "lag").agg(kernel.alias("value"))
     return values.groupBy("lag").agg(F.avg("value").alias("value")) if average else values
 
 
-def multi_subensemble(positions: DataFrame, kernel: Column, plan: LagPlan, selector: Column, n_selectors: int) -> DataFrame:
+def multi_subensemble(positions: DataFrame, kernel: Column, plan: LagPlan, selector: Column, n_selectors: int, average: bool = True) -> DataFrame:
     """lag, sel_id, value, count: mean over onsets weighted by each selection's size at the onset; 0 where it is empty.
 
+    Without ``average`` a row for each onset too, with its value and the selection's size there.
+
     ``selector`` is an array of selection numbers of the onset struct ``a``.
     """
     pairs = lag_pairs(positions, plan).withColumn("sel_id", F.explode(selector))
     values = pairs.groupBy("onset", "lag", "sel_id").agg(kernel.alias("v"), F.count("*").alias("c"))
-    means = values.groupBy("lag", "sel_id").agg(F.try_divide(F.sum(F.col("v") * F.col("c")), F.sum("c")).alias("value"), (F.sum("c") / len(plan.onsets)).alias("count"))
     spark = positions.sparkSession
+    if not average:
+        every = spark.createDataFrame([(o, k, s) for o, k, _ in plan.pairs for s in range(n_selectors)], "onset int, lag int, sel_id int")
+        return every.join(values, ["onset", "lag", "sel_id"], "left").select("onset", "lag", "sel_id", F.coalesce("v", F.lit(0.0)).alias("value"), F.coalesce("c", F.lit(0)).alias("count"))
+    means = values.groupBy("lag", "sel_id").agg(F.try_divide(F.sum(F.col("v") * F.col("c")), F.sum("c")).alias("value"), (F.sum("c") / len(plan.onsets)).alias("count"))
     every = spark.createDataFrame([(k, s) for k in plan.lags for s in range(n_selectors)], "lag int, sel_id int")
-    return means.join(F.broadcast(every), ["lag", "sel_id"], "right").select("lag", "sel_id", F.coalesce("value", F.lit(0.0)).alias("value"), F.coalesce("count", F.lit(0.0)).alias("count"))
+    return every.join(means, ["lag", "sel_id"], "left").select("lag", "sel_id", F.coalesce("value", F.lit(0.0)).alias("value"), F.coalesce("count", F.lit(0.0)).alias("count"))
 
 
 def van_hove_self(positions: DataFrame, plan: LagPlan, edges: Sequence[float]) -> DataFrame:
@@ -145,7 +152,7 @@ def _per_lag(counts: DataFrame, edges: Sequence[float], plan: LagPlan, size: Dat
     means = shares.groupBy("lag", "bin").agg((F.sum(F.col("n") / F.col("all")) / len(plan.onsets)).alias("value"))
     spark = counts.sparkSession
     every = spark.createDataFrame([(k, b) for k in plan.lags for b in range(len(edges) - 1)], "lag int, bin int")
-    return means.join(F.broadcast(every), ["lag", "bin"], "right").select("lag", "bin", F.coalesce("value", F.lit(0.0)).alias("value"))
+    return every.join(means, ["lag", "bin"], "left").select("lag", "bin", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
 def cross_pairs(positions: DataFrame, plan: LagPlan) -> DataFrame:
@@ -188,7 +195,7 @@ def overlap(positions: DataFrame, plan: LagPlan, radius: float, reference: DataF
     hits = within(later, points, radius, key=("onset", "lag")).groupBy("onset", "lag").agg(F.count("*").alias("n"))
     sizes = _onset_sizes(held, plan)
     every = spark.createDataFrame([(o, k) for o, k, _ in plan.pairs], "onset int, lag int")
-    full = hits.join(F.broadcast(every), ["onset", "lag"], "right").join(F.broadcast(sizes), "onset")
+    full = every.join(hits, ["onset", "lag"], "left").join(F.broadcast(sizes), "onset")
     return full.groupBy("lag").agg((F.sum(F.coalesce("n", F.lit(0)) / F.col("all")) / len(plan.onsets)).alias("value"))
 
 

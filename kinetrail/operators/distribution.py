@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import norm, polar, pore_coordinates
-from .hist import bin_table, densify, edge_bin, spatial_density
+from .hist import bin_table, densify, edge_bin, spatial_density, with_edge_bin
 from .joins import cell_list_pairs, distance, frame_pairs, nearest
 from .pbc import images, into_box
 
@@ -27,25 +27,44 @@ def time_histogram(values: DataFrame, row: str, value: Column, edges: Sequence[f
 
 def _shell_volumes(df: DataFrame, edges: Sequence[float]) -> DataFrame:
     table = bin_table(df.sparkSession, edges)
-    return F.broadcast(table.select("bin", "mid", (F.lit(4 / 3 * math.pi) * (F.pow("upper", F.lit(3.0)) - F.pow("lower", F.lit(3.0)))).alias("shell")))
+    return table.select("bin", "mid", (F.lit(4 / 3 * math.pi) * (F.pow("upper", F.lit(3.0)) - F.pow("lower", F.lit(3.0)))).alias("shell"))
 
 
-def rdf(a: DataFrame, edges: Sequence[float], frames: int, b: DataFrame | None = None, kind: str | None = None) -> DataFrame:
+def _pair_numbers(a: DataFrame, b: DataFrame | None, kind: str | None) -> DataFrame:
+    """frame, all, volume: the number of pairs of each frame, from counts of atoms and of residues' atoms alone."""
+
+    def sizes(df: DataFrame, name: str, *by: str) -> DataFrame:
+        return df.groupBy("frame", *by).agg(F.count("*").cast("double").alias(name), F.first(F.col("bx") * F.col("by") * F.col("bz")).alias(f"{name}_volume"))
+
+    n, volume = F.col("n"), F.col("n_volume")
+    if b is None:
+        whole = sizes(a, "n").select("frame", (n * (n - 1) / 2).alias("all"), volume.alias("volume"))
+        same = None if kind is None else sizes(a, "n", "residue_id").groupBy("frame").agg(F.sum(n * (n - 1) / 2).alias("same"))
+    else:
+        whole = sizes(a, "n").join(sizes(b, "m").select("frame", "m"), "frame").select("frame", (n * F.col("m")).alias("all"), volume.alias("volume"))
+        same = None if kind is None else sizes(a, "n", "residue_id").join(sizes(b, "m", "residue_id").select("frame", "residue_id", "m"), ["frame", "residue_id"]).groupBy("frame").agg(F.sum(n * F.col("m")).alias("same"))
+    if same is None:
+        return whole
+    same_of = F.coalesce("same", F.lit(0.0))
+    return whole.join(same, "frame", "left").select("frame", (same_of if kind == "intra" else F.col("all") - same_of).alias("all"), "volume")
+
+
+def rdf(a: DataFrame, edges: Sequence[float], frames: int, b: DataFrame | None = None, kind: str | None = None, box: Sequence[float] | None = None) -> DataFrame:
     """bin, mid, value: pairs by nearest-image distance over the shell's volume and the pairs' density, averaged over frames.
 
     ``kind`` keeps pairs of equal ('intra') or different ('inter') residue_id, which
-    positions must then carry. Kept pairs count for the density in range or not.
+    positions must then carry. Kept pairs count for the density in range or not; their number follows from
+    counts of atoms, so with ``box`` and a last edge under a third of it only pairs of neighbouring cells are made.
     """
-    pairs = frame_pairs(a, b)
+    pairs = frame_pairs(a, b) if box is None else cell_list_pairs(a, float(max(edges)), box, b)
     if kind is not None:
         same = F.col("a.residue_id") == F.col("b.residue_id")
         pairs = pairs.where({"intra": same, "inter": ~same}[kind])
-    volume = F.col("a.bx") * F.col("a.by") * F.col("a.bz")
-    pairs = pairs.select("frame", distance().alias("d"), volume.alias("volume"))  # named, so that it is worked out once
-    counts = pairs.groupBy("frame", edge_bin(F.col("d"), edges).alias("bin")).agg(F.count("*").alias("n"), F.first("volume").alias("volume"))
-    counts = counts.withColumn("all", F.sum("n").over(Window.partitionBy("frame"))).where("bin IS NOT NULL")
+    pairs = pairs.select("frame", distance().alias("d"))  # named, so that it is worked out once
+    inside = with_edge_bin(pairs.where(F.col("d").between(float(min(edges)), float(max(edges)))), F.col("d"), edges, "bin")
+    counts = inside.groupBy("frame", "bin").agg(F.count("*").alias("n")).join(_pair_numbers(a, b, kind), "frame")
     means = counts.groupBy("bin").agg((F.sum(F.col("n") * F.col("volume") / F.col("all")) / frames).alias("v"))
-    return means.join(_shell_volumes(a, edges), "bin", "right").select("bin", "mid", F.coalesce(F.col("v") / F.col("shell"), F.lit(0.0)).alias("value"))
+    return _shell_volumes(a, edges).join(means, "bin", "left").select("bin", "mid", F.coalesce(F.col("v") / F.col("shell"), F.lit(0.0)).alias("value"))
 
 
 def periodic_rdf(a: DataFrame, b: DataFrame, edges: Sequence[float], frames: int, exclude: int = 0, box: Sequence[float] | None = None) -> DataFrame:
@@ -62,7 +81,7 @@ def periodic_rdf(a: DataFrame, b: DataFrame, edges: Sequence[float], frames: int
     counts = pairs.withColumn("bin", edge_bin(F.col("d"), edges)).where("bin IS NOT NULL").groupBy("frame", "bin").agg(F.count("*").alias("n"))
     sizes = a.groupBy("frame").agg(F.count("*").alias("na"), F.first(F.col("bx") * F.col("by") * F.col("bz")).alias("volume")).join(b.groupBy("frame").agg(F.count("*").alias("nb")), "frame")
     means = counts.join(sizes, "frame").groupBy("bin").agg((F.sum(F.col("n") * F.col("volume") / F.col("na") / (F.col("nb") - exclude)) / frames).alias("v"))
-    return means.join(_shell_volumes(a, edges), "bin", "right").select("bin", "mid", F.coalesce(F.col("v") / F.col("shell"), F.lit(0.0)).alias("value"))
+    return _shell_volumes(a, edges).join(means, "bin", "left").select("bin", "mid", F.coalesce(F.col("v") / F.col("shell"), F.lit(0.0)).alias("value"))
 
 
 def sampled_frames(n_frames: int, times: int = 10) -> list[int]:
@@ -113,7 +132,7 @@ def radial_density(positions: DataFrame, edges: Sequence[float], frames: int, sy
     counts = positions.select(edge_bin(polar(x, y)[0], edges).alias("bin")).where("bin IS NOT NULL").groupBy("bin").agg(F.count("*").alias("n"))
     table = bin_table(positions.sparkSession, edges)
     ring = F.lit(math.pi) * (F.col("upper") * F.col("upper") - F.col("lower") * F.col("lower")) * float(height)
-    return counts.join(F.broadcast(table), "bin", "right").select("bin", "mid", (F.coalesce("n", F.lit(0)) / frames / ring).alias("value"))
+    return table.join(counts, "bin", "left").select("bin", "mid", (F.coalesce("n", F.lit(0)) / frames / ring).alias("value"))
 
 
 def shell_density(positions: DataFrame, shell_radius: float, edges: Sequence[Sequence[float]], shell_thickness: float = 0.5, symmetry_axis: Sequence[float] = (0, 0, 1), origin: Sequence[float] = (0, 0, 0)) -> DataFrame:

@@ -36,6 +36,19 @@ def edge_bin(d: Column, edges: Sequence[float]) -> Column:
     return F.when(inside, F.least(found, F.lit(n - 1)))
 
 
+def with_edge_bin(df: DataFrame, d: Column, edges: Sequence[float], name: str) -> DataFrame:
+    """``df`` with the ``edge_bin`` of values that are inside, their guess worked out in a projection of its own."""
+    e = np.asarray(edges, dtype=float)
+    n, held = len(e) - 1, _literals(edges)
+    if not np.allclose(np.diff(e), (e[-1] - e[0]) / n, rtol=1e-6, atol=0):
+        return df.withColumn(name, edge_bin(d, edges))
+    guess = F.floor((d - float(e[0])) / ((e[-1] - e[0]) / n)).cast("int")
+    placed = df.withColumn(f"_{name}", F.least(F.greatest(guess, F.lit(0)), F.lit(n - 1)))
+    g = F.col(f"_{name}")
+    found = g - (d < F.get(held, g)).cast("int") + (d >= F.get(held, g + 1)).cast("int")
+    return placed.withColumn(name, F.least(found, F.lit(n - 1))).drop(f"_{name}")
+
+
 def fast_bin(d: Column, edges: Sequence[float], signed: bool = True) -> Column:
     """floor division by the mean width; the right edge is outside and negative values raise an error.
 
@@ -63,9 +76,8 @@ def bin_table(spark: SparkSession, edges: Sequence[float]) -> DataFrame:
 
 
 def densify(counts: DataFrame, edges: Sequence[float], value: str) -> DataFrame:
-    """Every bin once, 0 where it has no row; the bin table has one row for each edge pair and is broadcast."""
-    table = F.broadcast(bin_table(counts.sparkSession, edges).select("bin", "mid"))
-    return counts.join(table, "bin", "right").select("bin", "mid", F.coalesce(F.col(value), F.lit(0)).alias(value))
+    """Every bin once, 0 where it has no row. Counts have a row a bin at most."""
+    return bin_table(counts.sparkSession, edges).select("bin", "mid").join(counts, "bin", "left").select("bin", "mid", F.coalesce(F.col(value), F.lit(0)).alias(value))
 
 
 def histogram(df: DataFrame, value: Column, edges: Sequence[float], weight: Column | None = None, rule: str | None = None) -> DataFrame:
@@ -78,5 +90,10 @@ def histogram(df: DataFrame, value: Column, edges: Sequence[float], weight: Colu
 def spatial_density(df: DataFrame, columns: Sequence[Column], edges: Sequence[Sequence[float]], weight: Column | None = None) -> DataFrame:
     """Counts (or weights) of the cells that hold rows: b0, b1, ..., n."""
     names = [f"b{k}" for k in range(len(columns))]
-    cells = df.select(*(edge_bin(c, e).alias(b) for c, e, b in zip(columns, edges, names, strict=True)), (F.lit(1) if weight is None else weight).alias("w"))
-    return cells.na.drop(subset=names).groupBy(*names).agg(F.sum("w").alias("n"))
+    values = df.select(*(c.alias(f"v{k}") for k, c in enumerate(columns)), (F.lit(1) if weight is None else weight).alias("w"))
+    for k, e in enumerate(edges):
+        values = values.where(F.col(f"v{k}").between(float(min(e)), float(max(e))))
+    # guesses have names, so that each is worked out once
+    for k, e in enumerate(edges):
+        values = with_edge_bin(values, F.col(f"v{k}"), e, names[k])
+    return values.groupBy(*names).agg(F.sum("w").alias("n"))

@@ -1,7 +1,7 @@
 """Pairs of positions: within a frame, across frames, by radius, and nearest neighbours.
 
-Frame pairs are dealt in tiles: both sides' atoms fall into ``tiles`` groups and
-a pair of groups is one join key, so one large frame is many tasks.
+Frame pairs are dealt in tiles: both sides' atoms fall into groups, as many as the
+frame's size asks for, and a pair of groups is one join key, so one large frame is many tasks.
 """
 
 from __future__ import annotations
@@ -14,25 +14,34 @@ from pyspark.sql import functions as F
 from ..functions import minimum_image, norm
 from ..schema import BOX
 
-#: Groups of atoms on each side of a frame's pairs.
-TILES = 4
+#: Atoms of a group, about; a frame has as many groups on each side as its larger side needs.
+TILE_ATOMS = 2000
 
 
-def _tiled(df: DataFrame, own: str, other: str, tiles: int) -> DataFrame:
-    placed = df.withColumn(own, F.pmod(F.xxhash64("atom"), F.lit(tiles)).cast("int"))
-    return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+def _tiled(df: DataFrame, own: str, other: str, sizes: DataFrame, key: Sequence[str]) -> DataFrame:
+    placed = df.join(sizes, list(key)).withColumn(own, F.pmod(F.xxhash64("atom"), F.col("tiles")).cast("int"))
+    return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
 
 
-def frame_pairs(a: DataFrame, b: DataFrame | None = None, key: Sequence[str] = ("frame",), tiles: int = TILES) -> DataFrame:
+def _tiles(a: DataFrame, b: DataFrame | None, key: Sequence[str], atoms: int) -> DataFrame:
+    """key, tiles: groups on each side, one for every ``atoms`` atoms of the larger side."""
+    counts = a.groupBy(*key).agg(F.count("*").alias("n"))
+    if b is not None:
+        counts = counts.unionByName(b.groupBy(*key).agg(F.count("*").alias("n"))).groupBy(*key).agg(F.max("n").alias("n"))
+    return counts.select(*key, F.ceil(F.col("n") / atoms).cast("int").alias("tiles"))
+
+
+def frame_pairs(a: DataFrame, b: DataFrame | None = None, key: Sequence[str] = ("frame",), tile_atoms: int = TILE_ATOMS) -> DataFrame:
     """All pairs with equal ``key``, as structs ``a`` and ``b``. Without ``b`` the pairs a.atom < b.atom of one set.
 
     Both sides are shuffled by (key, tiles), whatever their size: pairs are many
-    more than rows, and a broadcast would leave them to as many tasks as the scan has.
+    more than rows, and a broadcast would leave them to as many tasks as the scan has. A tile pair has about
+    ``tile_atoms`` squared pairs, however many atoms a frame has.
     A merge join spills where a tile is large.
     """
-    other = a if b is None else b
-    left = _tiled(a, "ta", "tb", tiles).select(*key, "ta", "tb", F.struct(*(c for c in a.columns if c not in key)).alias("a"))
-    right = _tiled(other, "tb", "ta", tiles).select(*key, "ta", "tb", F.struct(*(c for c in other.columns if c not in key)).alias("b"))
+    other, sizes = a if b is None else b, _tiles(a, b, key, tile_atoms)
+    left = _tiled(a, "ta", "tb", sizes, key).select(*key, "ta", "tb", F.struct(*(c for c in a.columns if c not in key)).alias("a"))
+    right = _tiled(other, "tb", "ta", sizes, key).select(*key, "ta", "tb", F.struct(*(c for c in other.columns if c not in key)).alias("b"))
     on = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in (*key, "ta", "tb")]
     if b is None:
         on.append(F.col("a.atom") < F.col("b.atom"))

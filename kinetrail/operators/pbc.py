@@ -117,11 +117,16 @@ def jumps(positions: DataFrame, first_whole: DataFrame | None = None) -> DataFra
 
 
 def nojump(positions: DataFrame, jump_table: DataFrame | None = None) -> DataFrame:
-    """Mode ``nojump``: coordinates less the boxes crossed so far. One window over an atom's frames, and a join only with a stored jump table."""
-    held = jumps(positions) if jump_table is None else jump_table
-    order = Window.partitionBy("atom").orderBy("frame").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = positions.join(held, ["frame", "atom"], "left")
-    return rows.withColumns({c: F.col(c) - F.col(b) * F.sum(F.coalesce(F.col(f"j{c}"), F.lit(0))).over(order) for c, b in zip(XYZ, BOX, strict=True)}).select(*positions.columns)
+    """Mode ``nojump``: coordinates less the boxes crossed so far, by one shuffle and sort of an atom's frames; a join only with a stored jump table."""
+    order = Window.partitionBy("atom").orderBy("frame")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if jump_table is None:
+        # the first frame has no step; the box is the first frame's
+        steps = {f"j{c}": F.coalesce(F.rint((F.col(c) - F.lag(c).over(order)) / F.first(b).over(so_far)), F.lit(0.0)) for c, b in zip(XYZ, BOX, strict=True)}
+        rows = positions.withColumns(steps)
+    else:
+        rows = positions.join(jump_table, ["frame", "atom"], "left").na.fill(0, ["jx", "jy", "jz"])
+    return rows.withColumns({c: F.col(c) - F.col(b) * F.sum(f"j{c}").over(so_far) for c, b in zip(XYZ, BOX, strict=True)}).select(*positions.columns)
 
 
 def whole(positions: DataFrame, atoms: DataFrame, mode: str = "com") -> DataFrame:

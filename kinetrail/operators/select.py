@@ -49,6 +49,10 @@ class AtomSubset:
             p, said = p & F.col("atom").isin([int(x) for x in indices]), [*said, "indices"]
         return AtomSubset(self.atoms, p, "_".join(said), self.groups)
 
+    def __checksum__(self) -> str:
+        """By the plan of the selected rows: source, predicate and all."""
+        return f"{self.description}:{self.table.semanticHash()}"
+
     def _same(self, other: AtomSubset) -> None:
         if not self.atoms.sameSemantics(other.atoms):
             raise AtomMismatch("selections are over different atoms")

@@ -1,6 +1,6 @@
 """Registered queries over the test tables, each with DuckDB SQL where SQL can express it."""
 
-from . import dynamics, geometry, statics
+from . import dynamics, geometry, inputs, statics
 from .registry import QUERIES, SQL
 
 
@@ -12,4 +12,4 @@ def oracle_sql():
     return dict(SQL)
 
 
-__all__ = ["dynamics", "geometry", "oracle_sql", "queries", "statics"]
+__all__ = ["dynamics", "geometry", "inputs", "oracle_sql", "queries", "statics"]

@@ -10,8 +10,6 @@ from ..sources import N_FRAMES, embedding_positions
 from .registry import POSITIONS, out6, pair_distance, query, rounded, sql_fast_bin
 
 PLAN = correlation.plan_lags(N_FRAMES)
-#: Fewer onsets and lags for kernels over all pairs of atoms.
-PAIR_PLAN = correlation.plan_lags(N_FRAMES, segments=3, index_distribution=lambda a, b: correlation.log_indices(a, b, 4))
 Q, RADIUS = 5.0, 0.2
 EDGES = np.linspace(0, 0.9, 10).tolist()
 DX = float(np.diff(EDGES).mean())
@@ -103,14 +101,14 @@ def van_hove_self(spark, sf_dir):
 
 @query(
     "van_hove_distinct",
-    f"""WITH {POSITIONS}, plan(onset, lag, frame) AS (VALUES {PAIR_PLAN.sql_values()}), size AS (SELECT count(*) AS n FROM embeddings), d AS (
+    f"""WITH {POSITIONS}, plan(onset, lag, frame) AS (VALUES {PLAN.sql_values()}), size AS (SELECT count(*) AS n FROM embeddings), d AS (
         SELECT p.lag, {pair_distance()} AS d FROM plan p JOIN pos a ON a.frame = p.onset JOIN pos b ON b.frame = p.frame),
     c AS (SELECT lag, {sql_fast_bin("d", DX, len(EDGES) - 1)} AS bin, count(*) AS n FROM d GROUP BY ALL),
     g AS (SELECT DISTINCT lag, CAST(b AS INTEGER) AS bin FROM plan, range({len(EDGES) - 1}) AS r(b))
-    SELECT g.lag, g.bin, {out6(f"coalesce(c.n / size.n, 0.0) / {len(PAIR_PLAN.onsets)}")} AS value FROM g CROSS JOIN size LEFT JOIN c ON c.lag = g.lag AND c.bin = g.bin""",
+    SELECT g.lag, g.bin, {out6(f"coalesce(c.n / size.n, 0.0) / {len(PLAN.onsets)}")} AS value FROM g CROSS JOIN size LEFT JOIN c ON c.lag = g.lag AND c.bin = g.bin""",
 )
 def van_hove_distinct(spark, sf_dir):
-    return rounded(correlation.van_hove_distinct(embedding_positions(spark, sf_dir), PAIR_PLAN, EDGES), "value")
+    return rounded(correlation.van_hove_distinct(embedding_positions(spark, sf_dir), PLAN, EDGES), "value")
 
 
 def _folded(c: str) -> str:
@@ -120,22 +118,22 @@ def _folded(c: str) -> str:
 
 @query(
     "coherent_scattering",
-    f"""WITH {POSITIONS}, plan(onset, lag, frame) AS (VALUES {PAIR_PLAN.sql_values()}), size AS (SELECT count(*) AS n FROM embeddings), d AS (
+    f"""WITH {POSITIONS}, plan(onset, lag, frame) AS (VALUES {PLAN.sql_values()}), size AS (SELECT count(*) AS n FROM embeddings), d AS (
         SELECT p.onset, p.lag, sqrt({" + ".join(f"{_folded(c)} * {_folded(c)}" for c in "xyz")}) * {Q} AS d FROM plan p JOIN pos a ON a.frame = p.onset JOIN pos b ON b.frame = p.frame)
-    SELECT lag, {out6(f"sum(CASE WHEN d = 0 THEN 1.0 ELSE sin(d) / d END) / any_value(size.n) / {len(PAIR_PLAN.onsets)}")} AS value FROM d, size GROUP BY lag""",
+    SELECT lag, {out6(f"sum(CASE WHEN d = 0 THEN 1.0 ELSE sin(d) / d END) / any_value(size.n) / {len(PLAN.onsets)}")} AS value FROM d, size GROUP BY lag""",
 )
 def coherent_scattering(spark, sf_dir):
-    return rounded(correlation.coherent_scattering(embedding_positions(spark, sf_dir), PAIR_PLAN, Q), "value")
+    return rounded(correlation.coherent_scattering(embedding_positions(spark, sf_dir), PLAN, Q), "value")
 
 
 @query(
     "overlap",
-    f"""WITH {POSITIONS}, plan(onset, lag, frame) AS (VALUES {PAIR_PLAN.sql_values()}), size AS (SELECT count(*) AS n FROM embeddings), m AS (
+    f"""WITH {POSITIONS}, plan(onset, lag, frame) AS (VALUES {PLAN.sql_values()}), size AS (SELECT count(*) AS n FROM embeddings), m AS (
         SELECT p.onset, p.lag, b.atom, min({pair_distance(box=False)}) AS d FROM plan p JOIN pos a ON a.frame = p.onset JOIN pos b ON b.frame = p.frame GROUP BY ALL)
-    SELECT lag, {out6(f"count(*) FILTER (d <= {RADIUS}) / any_value(size.n) / {len(PAIR_PLAN.onsets)}")} AS value FROM m, size GROUP BY lag""",
+    SELECT lag, {out6(f"count(*) FILTER (d <= {RADIUS}) / any_value(size.n) / {len(PLAN.onsets)}")} AS value FROM m, size GROUP BY lag""",
 )
 def overlap(spark, sf_dir):
-    return rounded(correlation.overlap(embedding_positions(spark, sf_dir), PAIR_PLAN, RADIUS), "value")
+    return rounded(correlation.overlap(embedding_positions(spark, sf_dir), PLAN, RADIUS), "value")
 
 
 @query(
@@ -198,19 +196,33 @@ def kww_fit(spark, sf_dir):
     return series.fit_curves(curves.withColumn("time", F.col("lag").cast("double")), ["onset"])
 
 
-@query("quick_tau")
 def quick_tau(spark, sf_dir):
     """Times of decay to 1/e of the scattering functions, one for each onset."""
     curves = correlation.shifted_correlation(embedding_positions(spark, sf_dir), correlation.isf(Q), PLAN)
-    return series.quick_taus(curves.withColumn("time", F.col("lag").cast("double")), ["onset"])
+    return rounded(series.quick_taus(curves.withColumn("time", F.col("lag").cast("double")), ["onset"]), "tau")
 
 
-@query("superpose")
+def _superposed_sql() -> str:
+    window = {"a": "(ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", "b": "(ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"}
+    near = ", ".join(
+        f"last_value(CASE WHEN v{k} IS NOT NULL THEN t END IGNORE NULLS) OVER {window['a']} AS ta{k}, last_value(v{k} IGNORE NULLS) OVER {window['a']} AS va{k}, "
+        f"first_value(CASE WHEN v{k} IS NOT NULL THEN t END IGNORE NULLS) OVER {window['b']} AS tb{k}, first_value(v{k} IGNORE NULLS) OVER {window['b']} AS vb{k}"
+        for k in (1, 2)
+    )
+    at = lambda k: f"(va{k} + CASE WHEN tb{k} > ta{k} THEN (ln(t) - ln(ta{k})) / (ln(tb{k}) - ln(ta{k})) ELSE 0 END * (vb{k} - va{k}))"
+    weight = "(ln(hi) - ln(t)) / (ln(hi) - ln(lo))"
+    return f"""{_CURVE}, one AS (SELECT t, c FROM c WHERE t > 0), two AS (SELECT t * 2.5 AS t, c FROM one),
+    p AS (SELECT t, one.c AS v1, two.c AS v2 FROM one FULL JOIN two USING (t)), n AS (SELECT t, v1, v2, {near} FROM p),
+    e AS (SELECT greatest((SELECT min(t) FROM one), (SELECT min(t) FROM two)) AS lo, least((SELECT max(t) FROM one), (SELECT max(t) FROM two)) AS hi)
+    SELECT {out6('t')} AS time, {out6(f"CASE WHEN t BETWEEN lo AND hi THEN {weight} * {at(1)} + (1 - {weight}) * {at(2)} ELSE coalesce(v1, v2) END")} AS value FROM n, e"""
+
+
+@query("superpose", _superposed_sql())
 def superpose(spark, sf_dir):
     """The scattering function at short times and at times stretched by 2.5, as one curve."""
     curve = _isf_curve(spark, sf_dir).where("t > 0").select(F.col("t").alias("time"), F.col("c").alias("value"))
     later = _isf_curve(spark, sf_dir).where("t > 0").select((F.col("t") * 2.5).alias("time"), F.col("c").alias("value"))
-    return series.superposed(curve, later)
+    return rounded(series.superposed(curve, later), "time", "value")
 
 
 @query(

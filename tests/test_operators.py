@@ -277,14 +277,65 @@ def test_fits():
     t = np.logspace(-1, 2, 40)
     fit = series.fit_kww(t, 0.9 * np.exp(-((t / 5) ** 0.7)), (1.0, 3.0, 0.9))
     assert np.allclose(fit, [0.9, 5, 0.7], rtol=1e-4)
-    assert series.quick_tau(t, np.exp(-((t / 5) ** 0.7))) == pytest.approx(5, rel=1e-3)
-    assert series.quick_tau(np.array([1.0, 2.0]), np.array([0.4, 0.1])) == 1.0
+    assert series.crossing_time(t, np.exp(-((t / 5) ** 0.7))) == pytest.approx(5, rel=1e-9)
+    assert series.crossing_time(np.array([1.0, 2.0]), np.array([0.3, 0.1])) == 1.0
 
 
-def test_superpose_keeps_one_curve():
-    x1, x2 = np.linspace(0.1, 5, 50), np.linspace(2, 20, 50)
-    x, y = series.superpose(x1, 1 / x1, x2, 1 / x2)
-    assert (np.diff(x) > 0).all() and np.allclose(y, 1 / x, rtol=2e-2)
+def curve(spark, rows):
+    return spark.createDataFrame(rows, "g int, time double, value double")
+
+
+def test_times_of_decay(spark):
+    t = np.logspace(-1, 2, 30)
+    rows = [(k, float(x), math.exp(-((x / tau) ** beta))) for k, (tau, beta) in enumerate(((5.0, 0.7), (0.3, 1.0), (40.0, 0.4))) for x in t]
+    # never below; straight where the stretched form is not defined (time 0); the first of several falls
+    rows += [(3, 1.0, 0.9), (3, 2.0, 0.8), (4, 0.0, 1.0), (4, 1.0, 0.0), (5, 1.0, 0.5), (5, 2.0, 0.2), (5, 3.0, 0.6), (5, 4.0, 0.1), (6, 1.0, math.nan), (6, 2.0, 0.4)]
+    got = {r.g: r.tau for r in series.quick_taus(curve(spark, rows), ["g"]).collect()}
+    assert [got[k] for k in range(3)] == pytest.approx([5.0, 0.3, 40.0], rel=1e-9)
+    assert got[3] == 2.0 and got[4] == pytest.approx(1 - math.exp(-1)) and 1 < got[5] < 2 and got[6] == 2.0
+
+
+def test_curves_are_fitted(spark):
+    t = np.logspace(-1, 2, 40)
+    rows = [(k, float(x), a * math.exp(-((x / tau) ** beta))) for k, (a, tau, beta) in enumerate(((0.9, 5.0, 0.7), (1.0, 2.0, 1.0))) for x in t]
+    got = series.fit_curves(curve(spark, rows), ["g"]).orderBy("g").toPandas()
+    assert np.allclose(got[["amplitude", "tau", "beta"]], [[0.9, 5, 0.7], [1, 2, 1]], rtol=1e-4)
+    # the amplitude bends the line between two points a little
+    assert np.allclose(got.tau_1e, [5 * math.log(0.9 * math.e) ** (1 / 0.7), 2.0], rtol=1e-2)
+
+
+def test_two_curves_as_one(spark):
+    one = curve(spark, [(0, x, 1 - math.log(x) / 5) for x in (0.5, 1.0, 2.0, 4.0)])
+    two = curve(spark, [(0, x, 1 - math.log(x) / 5) for x in (1.5, 3.0, 8.0, 20.0)])
+    got = series.superposed(one, two, by=["g"]).orderBy("time").toPandas()
+    # a line over the logarithm of time stays as it is
+    assert got.time.tolist() == [0.5, 1, 1.5, 2, 3, 4, 8, 20] and np.allclose(got.value, 1 - np.log(got.time) / 5)
+    # the weight falls from the first curve to the second one
+    flat = series.superposed(curve(spark, [(0, x, 1.0) for x in (1.0, 2.0, 4.0)]), curve(spark, [(0, x, 0.0) for x in (1.0, 2.0, 4.0)]), damping=2.0).orderBy("time").toPandas()
+    assert flat.value.tolist() == pytest.approx([1.0, 0.25, 0.0])
+    apart = series.superposed(curve(spark, [(0, 0.0, 5.0), (0, 1.0, 4.0)]), curve(spark, [(0, 2.0, 1.0)])).orderBy("time").toPandas()
+    assert apart.value.tolist() == [5, 4, 1]
+    assert series.superposed(one.limit(0), two).count() == 4
+
+
+def test_plans_of_pairs_and_unwrapping(spark):
+    held = positions(spark, [(f, a, 0.1 * a, 0, 0) for f in range(3) for a in range(9)])
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan(pbc.nojump(held)) and plan(pbc.nojump(held)).count("Exchange hashpartitioning") == 1
+    # one huge frame is many pairs of groups
+    wide = positions(spark, [(0, a, 0.01 * a, 0, 0) for a in range(100)])
+    pairs = joins.frame_pairs(wide, tile_atoms=10)
+    assert pairs.count() == 100 * 99 // 2 and joins.frame_pairs(wide, wide, tile_atoms=7).count() == 10_000
+    assert joins.frame_pairs(wide.limit(0)).count() == 0
+
+
+def test_selections_of_different_tables_have_different_digests(spark):
+    from kinetrail.cache import checksum
+
+    one, two = atoms(spark, WATER), atoms(spark, WATER[:3])
+    pick = lambda t, **k: AtomSubset.all(t).subset(**k)
+    assert checksum(pick(one, atom_name="OW")) == checksum(pick(one, atom_name="OW"))
+    assert len({checksum(pick(one, atom_name="OW")), checksum(pick(two, atom_name="OW")), checksum(pick(one, residue_id=[1])), checksum(pick(one, residue_id=[2]))}) == 4
 
 
 def test_energy(spark):

@@ -20,9 +20,3 @@ def test_every_curve_is_fitted(spark):
     got = plans.queries()["kww_fit"](spark, SF).toPandas()
     assert sorted(got.onset) == list(range(10))
     assert got.tau_1e.notna().all()
-
-
-def test_times_of_decay_and_one_curve_from_two(spark):
-    assert sorted(plans.queries()["quick_tau"](spark, SF).toPandas().onset) == list(range(10))
-    got = plans.queries()["superpose"](spark, SF).orderBy("time").toPandas()
-    assert got.time.is_unique and got.time.iloc[0] == 1.0 and got.time.iloc[-1] == 25.0 and got.value.notna().all()
