@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, stage
+from .common import fold, slices, stage
 
 #: Labelled rows of either class that are learnt from, at most, and windows of each part of them.
 MAX_ROWS, MAX_WINDOWS = 20_000, 250_000
@@ -190,15 +190,17 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Toxic
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts, orders, held = [], [], []
-            for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
-                h = xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass"))
-                part = 10 + h % 2 if toxic else h % ORDINARY_PARTS
-                for k, window in enumerate(windows(text)):
-                    parts.append(part)
-                    orders.append(xxhash.xxh3_64_intdigest(window, seed=(h + k) & 0xFFFFFFFF) >> 1)
-                    held.append(window)
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(orders, pa.int64()), pa.array(held, pa.binary())], ["part", "order", "window"])
+            marks = batch["toxic"].to_pylist()
+            for first, texts in slices(batch["text"].to_pylist()):
+                parts, orders, held = [], [], []
+                for text, toxic in zip(texts, marks[first:], strict=False):
+                    h = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+                    part = 10 + h % 2 if toxic else h % ORDINARY_PARTS
+                    for k, window in enumerate(windows(text)):
+                        parts.append(part)
+                        orders.append(xxhash.xxh3_64_intdigest(window, seed=(h + k) & 0xFFFFFFFF) >> 1)
+                        held.append(window)
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(orders, pa.int64()), pa.array(held, pa.binary())], ["part", "order", "window"])
 
     every = stage(picked.where("NOT calibrating").select("text", "toxic").mapInArrow(cut, "part int, order long, window binary"), "toxicity-windows")
 
