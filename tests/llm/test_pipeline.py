@@ -15,7 +15,7 @@ def test_every_stage_acts_on_what_the_one_before_kept(spark, sf):
         assert ids <= before and got.count() == len(ids)
         if name == "toxicity":
             model = toxicity.train(held, table(spark, sf, "labels"))
-            assert ids == {r.doc_id for r in held.collect() if model.score(r.text)[0] < toxicity.THRESHOLD}
+            assert ids == {r.doc_id for r in held.collect() if model.score(r.text) < toxicity.THRESHOLD}
         if name == "near_dedup":
             classes = {r.doc_id: r.class_id for r in neardup.run(held).collect()}
             assert ids == set(classes.values())
@@ -30,7 +30,8 @@ def test_every_stage_acts_on_what_the_one_before_kept(spark, sf):
             assert total(got) <= corpus_pipeline.MIX_SHARE * total(held) and ids < before
             assert mixing.select(held, 1.0, {}).count() == len(before)
         if name == "packing":
-            assert ids == before and {"bucket", "batch", "place"} <= set(got.columns)
+            assert ids == before and {"bucket", "batch", "place"} <= set(got.columns) and set(docs.columns) < set(got.columns)
+            assert {r.doc_id: r.text for r in got.collect()} == {r.doc_id: r.text for r in held.collect()}
         else:
             assert got.columns == docs.columns
         held = got
