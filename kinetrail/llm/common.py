@@ -52,13 +52,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(texts: Iterable[str | None]) -> Iterator[tuple[int, list[str]]]:
-    """Consecutive runs of texts (null: empty) of at least one text and about SLICE_CHARS, each with its first position."""
+def slices(texts: Iterable[str | None], chars: int = SLICE_CHARS) -> Iterator[tuple[int, list[str]]]:
+    """Consecutive runs of texts (null: empty) of at least one text and about ``chars``, each with its first position."""
     first, held, size = 0, [], 0
     for k, text in enumerate(texts):
         held.append(text or "")
         size += len(held[-1])
-        if size >= SLICE_CHARS:
+        if size >= chars:
             yield first, held
             first, held, size = k + 1, [], 0
     if held:
