@@ -13,6 +13,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,6 +66,17 @@ def slices(texts: Iterable[str | None], chars: int = SLICE_CHARS) -> Iterator[tu
         yield first, held
 
 
+def column_slices(column: pa.Array, chars: int = SLICE_CHARS) -> Iterator[tuple[int, list[str]]]:
+    """The same slices of a text column, of which only a part is ever turned into strings."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    first, held = 0, 0
+    for k, size in enumerate(sizes.tolist()):
+        held += size
+        if held >= chars or k + 1 == len(sizes):
+            yield first, [t or "" for t in column.slice(first, k + 1 - first).to_pylist()]
+            first, held = k + 1, 0
+
+
 def segment_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Sum of values[start:end] for ascending disjoint segments, 0 for empty ones."""
     out = np.zeros(len(starts), dtype=np.float64)
