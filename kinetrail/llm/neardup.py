@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pack, salt, slices, stage, sum_arrays, unpack
+from .common import column_slices, pack, salt, stage, sum_arrays, unpack
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
@@ -114,7 +114,7 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, held, documents = _Ids(), np.zeros(1 << SLOT_BITS, np.int64), 0
         for batch in batches:
-            for _, texts in slices(batch["text"].to_pylist()):
+            for _, texts in column_slices(batch["text"]):
                 parts = [shingles(t, ids)[0] for t in texts]
                 documents += sum(len(p) > 0 for p in parts)
                 held += np.bincount(np.concatenate([slot_of(p) for p in parts]), minlength=1 << SLOT_BITS)
@@ -188,8 +188,8 @@ def sign(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, ids, seen = Sampler(), _Ids(), set()
         for batch in batches:
-            doc_ids, all_texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
-            for first, texts in slices(all_texts):
+            doc_ids = batch["doc_id"].to_pylist()
+            for first, texts in column_slices(batch["text"]):
                 tids = [_digest(t) for t in texts]
                 fresh, parts = [], []
                 for k, (tid, text) in enumerate(zip(tids, texts, strict=True)):
