@@ -18,9 +18,9 @@ and the scores are those of one probability model: over all texts they sum to on
 What is learnt covers all training texts: the counts of every slot, the exact
 token counts, and the classes, by distributed rounds of expectation
 maximisation over each text's counts of the frequent words. The weights and the map are
-learnt online, each task on its share of one text in ``LEARN_ONE_IN`` and of the
-``LEARN_LEAST`` first by hash, whole, each decision without its own count; the tasks' results
-are averaged by how often each gate was used. That sample grows with the input.
+learnt online, each task on all its texts, each decision without its own count: equal bytes in equal
+contexts make one step together, with their number. The tasks' results
+are averaged by how often each gate was used.
 
 The number of slots follows the vocabulary's size up to ``MOST_BITS`` for each
 predictor; beyond that contexts share slots, as hashing implies, and none is left out. A byte's
@@ -57,10 +57,10 @@ ORDERS = (2, 3, 4, 5)
 MOST_BITS, LEAST_BITS = (19, 20, 21, 22, 23), 16
 #: Slots of a block, the unit in which count arrays are summed.
 BLOCK_BITS = 16
-#: Weights are learnt from one training text in so many by hash, and from so many first by hash.
-LEARN_ONE_IN, LEARN_LEAST = 128, 200
-#: Bytes of an online step.
-STEP = 2048
+#: Weights are learnt from one training text in so many, that is from all, however few a table has.
+LEARN_ONE_IN, LEARN_LEAST = 1, 200
+#: Bytes of an online step, distinct bytes in context that a task holds before it learns from them (log2), and what the map's start counts.
+STEP, DISTINCT_BITS, MAP_PRIOR = 4096, 21, 200.0
 #: Tokens whose counts are broadcast, at most, and their bytes.
 HEAD, HEAD_BYTES = 200_000, 64
 #: Texts are counted, and learnt from and scored, in slices of about so many characters.
@@ -438,10 +438,39 @@ class Learner:
         self.weights, self.refined = start_weights()
         self.squares = np.full(self.weights.shape, 1.0, dtype=np.float32)
         self.used = np.zeros(GATES)
-
-    def see(self, held: Contexts) -> None:
+        self.start, self.ones, self.n = self.refined.astype(np.float64), np.zeros(self.refined.size), np.zeros(self.refined.size)
+        self._times: np.ndarray | None = None
+
+    def gather(self, held: Contexts) -> None:
+        """Count bytes in context; those that find their cell taken by another one are learnt from at once."""
+        if self._times is None:
+            size = 1 << DISTINCT_BITS
+            self._times, self._keys, self._words = np.zeros(size, np.int64), np.zeros(size, np.uint64), np.zeros(size, np.uint64)
+        both = held.words ^ (held.keys * np.uint64(0x9E3779B97F4A7C15))
+        at = (((both ^ (both >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - DISTINCT_BITS)).view(np.int64)
+        free = np.flatnonzero(self._times[at] == 0)
+        # of equal cells the last writer is the same for both arrays
+        self._keys[at[free]], self._words[at[free]] = held.keys[free], held.words[free]
+        own = (self._keys[at] == held.keys) & (self._words[at] == held.words)
+        self._times += np.bincount(at[own], minlength=len(self._times))
+        if not own.all():
+            rest = np.flatnonzero(~own)
+            rest = rest[np.argsort(both[rest], kind="stable")]
+            k, w = held.keys[rest], held.words[rest]
+            first = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (w[1:] != w[:-1]))))
+            self.see(Contexts(k[first], w[first], held.starts, held.ends), np.diff(np.append(first, len(k))))
+
+    def finish(self) -> None:
+        """Learn from what was gathered, in the order of hashes."""
+        if self._times is not None:
+            at = np.flatnonzero(self._times)
+            self.see(Contexts(self._keys[at], self._words[at], at[:0], at[:0]), self._times[at])
+            self._times = None
+
+    def see(self, held: Contexts, times: np.ndarray | None = None) -> None:
         for first in range(0, len(held.keys), STEP):
             keys = held.keys[first : first + STEP]
+            often = np.ones(len(keys)) if times is None else times[first : first + STEP].astype(np.float64)
             bases = all_bases(keys, held.words[first : first + STEP])
             for depth, path, bit in decisions(keys):
                 inputs = []
@@ -449,40 +478,37 @@ class Learner:
                     n = t[slots(base, b, path)].astype(np.int64)
                     inputs.append(LOGITS[np.maximum((n >> 8) - (bit == 0), 0), np.maximum((n & 255) - (bit == 1), 0)])
                 _, x, gate, mixed, row, cell, share = mix(inputs, depth, self.weights, self.refined)
-                wrong = (bit - mixed).astype(np.float32)
+                wrong = ((bit - mixed) * often).astype(np.float32)
                 slope = np.stack([np.bincount(gate, weights=v * wrong, minlength=GATES) for v in x], axis=1).astype(np.float32)
                 self.squares += slope * slope
                 self.weights += 0.05 * slope / np.sqrt(self.squares)
-                self.used += np.bincount(gate, minlength=GATES)
+                self.used += np.bincount(gate, weights=often, minlength=GATES)
                 near = row * MAP_CELLS + np.where(share < 0.5, cell, cell + 1)
-                n = np.bincount(near, minlength=self.refined.size)
-                ones = np.bincount(near, weights=bit, minlength=self.refined.size)
-                flat = self.refined.reshape(-1)
-                flat += (1 - 0.995**n) * (np.divide(ones, n, out=np.zeros(len(n)), where=n > 0) - flat)
-                np.clip(flat, LEAST_P, 1 - LEAST_P, out=flat)
+                self.n += np.bincount(near, weights=often, minlength=self.n.size)
+                self.ones += np.bincount(near, weights=bit * often, minlength=self.n.size)
+                held_map = (self.start.ravel() * MAP_PRIOR + self.ones) / (MAP_PRIOR + self.n)
+                self.refined.reshape(-1)[:] = np.clip(held_map, LEAST_P, 1 - LEAST_P)
 
 
 def learn(training: DataFrame, tables: list[np.ndarray], classes: DocumentClasses) -> ContextMixer:
-    """The mixer whose weights are the mean of what tasks learnt on their share of the sample, by how often each gate was used."""
+    """The mixer whose weights are the mean of what tasks learnt on their texts, by how often each gate was used."""
     shared = training.sparkSession.sparkContext.broadcast((tables, classes))
-    hashed = training.select(F.xxhash64("doc_id", "text").alias("h"), "text")
-    first = [r.h for r in hashed.select("h").orderBy("h").limit(LEARN_LEAST).collect()]
-    sample = hashed.where((F.pmod("h", F.lit(LEARN_ONE_IN)) == 0) | (F.col("h") <= F.lit(first[-1] if first else 0)))
 
     def online(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, classes = shared.value
         learner, seen = Learner(tables), False
         for batch in batches:
-            for _, texts in column_slices(batch["text"], SCORE_CHARS):
-                learner.see(contexts_of([tokens(t) for t in texts], classes)[0])
+            for _, texts in column_slices(batch["text"], COUNT_CHARS):
+                learner.gather(contexts_of([tokens(t) for t in texts], classes)[0])
                 seen = True
+        learner.finish()
         if seen:
             used, by_row = learner.used, learner.used.reshape(ROWS, 8).sum(axis=1)
             total = np.concatenate((used, (learner.weights * used[:, None]).ravel(), (learner.refined * by_row[:, None]).ravel()))
             yield pa.RecordBatch.from_pydict({"key": ["learnt"], "salt": pa.array([salt()], pa.int32()), "payload": [pack(total)]})
 
     weights, refined = start_weights()
-    for row in sum_arrays(sample.select("text").mapInArrow(online, "key string, salt int, payload binary"), "float64").collect():  # one row
+    for row in sum_arrays(training.select("text").mapInArrow(online, "key string, salt int, payload binary"), "float64").collect():  # one row
         total = unpack(row.payload, "float64")
         used, by_row = total[:GATES], total[:GATES].reshape(ROWS, 8).sum(axis=1)
         own = total[GATES : GATES + weights.size].reshape(weights.shape)

@@ -217,6 +217,16 @@ def test_the_learnt_sample_grows_with_the_table(spark, monkeypatch):
     assert seen and seen[0] >= 1
 
 
+def test_weights_are_learnt_from_every_byte_of_every_text(spark, monkeypatch):
+    texts = [f"one two three {k}" for k in range(2000)]
+    used = []
+    monkeypatch.setattr(lm, "DISTINCT_BITS", 8)  # most bytes find their cell taken
+    real = lm.sum_arrays
+    monkeypatch.setattr(lm, "sum_arrays", lambda parts, dtype: (lambda out: used.append(lm.unpack(out.first().payload, dtype)[: lm.GATES].sum()) or out)(real(parts, dtype).cache()))
+    lm.learn(documents(spark, texts), [np.zeros(1 << lm.LEAST_BITS, np.uint16)] * 5, none())
+    assert used == [8 * sum(len(lm.coded(lm.tokens(t))) for t in texts)]
+
+
 def test_score_beats_the_base_on_held_out_texts(spark):
     got = lm.run(table(spark, "/root/testdata/sf0.01", "documents")).where("held_out").toPandas()
     assert got.score.sum() > got.base_score.sum()
