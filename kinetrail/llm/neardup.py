@@ -108,6 +108,11 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(shared / (wa.sum() + wb.sum() - shared))
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the corpus: joined by sorting, so that it is never collected on the driver to be broadcast."""
+    return df.hint("merge")
+
+
 def document_frequencies(docs: DataFrame) -> np.ndarray:
     """The idf of each slot, from all documents."""
 
@@ -232,15 +237,15 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(tids, pa.binary()), batch["text"]], ["tid", "text"]).filter(pa.array(keep))
 
     held = docs.where(F.col("text").isNotNull()).select("text").mapInArrow(first, "tid binary, text string")
-    return held.join(wanted, "tid").groupBy("tid", "nid").agg(F.first("text").alias("text")).select("nid", "text")
+    return held.join(apart(wanted), "tid").groupBy("tid", "nid").agg(F.first("text").alias("text")).select("nid", "text")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
     """a, b, sim for each pair (a, b); the pairs of a node a are dealt to groups of about FAN, each with a copy of its text."""
     shared = pairs.sparkSession.sparkContext.broadcast(idf)
     fans = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).cast("int").alias("fan"))
-    members = pairs.join(fans, "a").select("a", F.pmod(F.xxhash64("b"), F.col("fan")).cast("int").alias("part"), "b").join(texts.withColumnRenamed("nid", "b"), "b")
-    leads = fans.join(texts.withColumnRenamed("nid", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "text")
+    members = pairs.join(apart(fans), "a").select("a", F.pmod(F.xxhash64("b"), F.col("fan")).cast("int").alias("part"), "b").join(apart(texts.withColumnRenamed("nid", "b")), "b")
+    leads = fans.join(apart(texts.withColumnRenamed("nid", "a")), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, held, lead = _Ids(), None, None
@@ -394,10 +399,10 @@ def components(edges: DataFrame) -> DataFrame:
     both = stage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "neardup-edges")
     labels = stage(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("nid"), F.least("a", "m").alias("comp")), "neardup-labels")
     while True:
-        near = both.join(labels.withColumnsRenamed({"nid": "b", "comp": "c"}), "b").groupBy(F.col("a").alias("nid")).agg(F.min("c").alias("c"))
-        spread = labels.join(near, "nid").select("nid", "comp", F.least("comp", "c").alias("c"))
+        near = both.join(apart(labels.withColumnsRenamed({"nid": "b", "comp": "c"})), "b").groupBy(F.col("a").alias("nid")).agg(F.min("c").alias("c"))
+        spread = labels.join(apart(near), "nid").select("nid", "comp", F.least("comp", "c").alias("c"))
         jump = labels.select(F.col("nid").alias("c"), F.col("comp").alias("j"))
-        moved = stage(spread.join(jump, "c").select("nid", F.col("comp").alias("old"), F.least("c", "j").alias("comp")), "neardup-labels")
+        moved = stage(spread.join(apart(jump), "c").select("nid", F.col("comp").alias("old"), F.least("c", "j").alias("comp")), "neardup-labels")
         labels = moved.select("nid", "comp")
         if moved.where("comp <> old").isEmpty():
             return labels
@@ -411,25 +416,25 @@ def classes(docs: DataFrame) -> DataFrame:
     nodes = stage(grouped.withColumn("nid", F.monotonically_increasing_id()), "neardup-nodes")
     member = nodes.where(F.col("bands").isNotNull()).select("nid", F.posexplode("bands").alias("band", "key"))
     buckets = member.groupBy("key").agg(F.min("nid").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    rows = stage(member.join(buckets, "key").where("nid <> leader"), "neardup-buckets")
+    rows = stage(member.join(apart(buckets), "key").where("nid <> leader"), "neardup-buckets")
     pairs = stage(rows.select(F.col("leader").alias("a"), F.col("nid").alias("b")).distinct(), "neardup-pairs")
     # all members of buckets, so every later pair's texts are among these
-    wanted = pairs.select(F.col("a").alias("nid")).unionByName(pairs.select(F.col("b").alias("nid"))).distinct().join(nodes.select("nid", "tid"), "nid")
+    wanted = pairs.select(F.col("a").alias("nid")).unionByName(pairs.select(F.col("b").alias("nid"))).distinct().join(apart(nodes.select("nid", "tid")), "nid")
     texts = stage(_texts(docs, wanted), "neardup-texts")
     scored = stage(verify(pairs, texts, idf), "neardup-scored")
     links = scored.where(F.col("sim") >= SIMILARITY).select("a", "b")
     comps = components(links)
 
-    measured = rows.join(scored.withColumnsRenamed({"a": "leader", "b": "nid"}), ["leader", "nid"]).withColumn("d", 1 - F.col("sim"))
+    measured = rows.join(apart(scored.withColumnsRenamed({"a": "leader", "b": "nid"})), ["leader", "nid"]).withColumn("d", 1 - F.col("sim"))
     open_keys = measured.where(F.col("sim") < SIMILARITY).select("key").distinct()
     # a bucket whose only other member is far from its leader is decided
-    left = measured.where("n > 2").join(open_keys, "key", "left_semi").join(nodes.select("nid", "sketch", "total"), "nid")
+    left = measured.where("n > 2").join(apart(open_keys), "key", "left_semi").join(apart(nodes.select("nid", "sketch", "total")), "nid")
     left = stage(left.select("key", "band", "nid", "d", "n", "sketch", "total"), "neardup-left")
 
     def with_components() -> DataFrame:
-        held = left.join(comps, "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
+        held = left.join(apart(comps), "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
         largest = held.groupBy("key", "comp").agg(F.count("*").alias("size")).groupBy("key").agg(F.max(F.struct("size", "comp"))["comp"].alias("main"))
-        return held.join(largest, "key")
+        return held.join(apart(largest), "key")
 
     best = stage(best_partners(with_components()), "neardup-best")
     if not best.isEmpty():
@@ -437,13 +442,13 @@ def classes(docs: DataFrame) -> DataFrame:
         comps = components(links)
         still = stage(partnered(with_components()), "neardup-still")
         if not still.isEmpty():
-            open_rows = with_components().join(still, ["key", "nid"], "left_semi").join(texts, "nid").join(nodes.select("nid", "bands"), "nid")
+            open_rows = with_components().join(apart(still), ["key", "nid"], "left_semi").join(apart(texts), "nid").join(apart(nodes.select("nid", "bands")), "nid")
             links = stage(links.unionByName(resolve(open_rows, idf)), "neardup-links")
             comps = components(links)
 
-    placed = nodes.select("nid", "tid", "rep").join(comps, "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
-    named = placed.join(placed.groupBy("comp").agg(F.min("rep").alias("class_id")), "comp").select("tid", "class_id")
-    whole = signed.select("doc_id", "tid").join(named, "tid").select("doc_id", "tid", "class_id")
+    placed = nodes.select("nid", "tid", "rep").join(apart(comps), "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
+    named = placed.join(apart(placed.groupBy("comp").agg(F.min("rep").alias("class_id"))), "comp").select("tid", "class_id")
+    whole = signed.select("doc_id", "tid").join(apart(named), "tid").select("doc_id", "tid", "class_id")
     return whole.unionByName(docs.where(F.col("text").isNull()).select(F.col("doc_id").cast("long"), F.lit(None).cast("binary").alias("tid"), F.col("doc_id").cast("long").alias("class_id")))
 
 
@@ -452,7 +457,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     kept = classes(docs).where(F.col("tid").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept_id"), F.col("tid").alias("_kept_tid")).distinct()
     given = docs.where(F.col("text").isNotNull()).withColumn("_own_tid", F.unhex(F.md5("text")))
     # of a class whose smallest id stands on several texts each of those rows is kept once
-    out = given.join(kept, (given["_own_tid"] == kept["_kept_tid"]) & given["doc_id"].eqNullSafe(kept["_kept_id"])).dropDuplicates(["_own_tid", "_kept_id"])
+    out = given.join(apart(kept), (given["_own_tid"] == kept["_kept_tid"]) & given["doc_id"].eqNullSafe(kept["_kept_id"])).dropDuplicates(["_own_tid", "_kept_id"])
     return out.select(*docs.columns).unionByName(docs.where(F.col("text").isNull()))
 
 

@@ -124,3 +124,19 @@ def test_repeated_rows_and_null_ids(spark):
     assert sorted(r.doc_id for r in nd.keep_one(docs).collect()) == [0, 1]
     alone = documents(spark, ["a text without any id"]).withColumn("doc_id", F.lit(None).cast("long"))
     assert nd.run(alone).first().class_id is None and nd.keep_one(alone).count() == 1
+
+
+def test_no_table_of_the_corpus_is_broadcast(spark, monkeypatch):
+    # what Spark could broadcast it would collect on the driver first
+    texts = [f"{k % 40} " + " ".join(f"w{(k % 40) * 31 + i}" for i in range(30)) for k in range(120)]
+    plans, real = [], nd.stage
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(nd, "stage", seen)
+    kept = nd.keep_one(documents(spark, texts))
+    assert kept.count() == 40
+    plans.append(kept._jdf.queryExecution().executedPlan().toString())
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
