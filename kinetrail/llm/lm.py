@@ -59,12 +59,15 @@ MOST_BITS, LEAST_BITS = (19, 20, 21, 22, 23), 16
 BLOCK_BITS = 16
 #: Weights are learnt from one training text in so many, that is from all, however few a table has.
 LEARN_ONE_IN, LEARN_LEAST = 1, 200
-#: Bytes of an online step, distinct bytes in context that a task holds before it learns from them (log2), and what the map's start counts.
-STEP, DISTINCT_BITS, MAP_PRIOR = 4096, 21, 200.0
+#: Bytes of an online step, and what the map's start counts.
+STEP, MAP_PRIOR = 4096, 200.0
+#: log2 of the cells for distinct bytes in context that a task holds before it learns from or counts them, cells that a byte is looked for in, bytes without one
+#: that are held, and the share of a slice's bytes without one, one in so many, at which the cells are emptied.
+DISTINCT_BITS, COUNT_BITS, PROBES, LEFT, FULL = 21, 20, 8, 1 << 16, 32
 #: Tokens whose counts are broadcast, at most, and their bytes.
 HEAD, HEAD_BYTES = 200_000, 64
-#: Texts are counted, and learnt from and scored, in slices of about so many characters.
-COUNT_CHARS, SCORE_CHARS = 1_000_000, 250_000
+#: Texts are worked on in slices of about so many characters, whose arrays stay in a core's cache.
+SLICE = 100_000
 #: Buckets of the adaptive probability map; log2 of the byte probabilities that a worker remembers, and of the cells that find equal bytes of a slice.
 MAP_CELLS, REMEMBERED_BITS, STAND_BITS = 33, 22, 20
 END, SPACE = b"\n", b" "
@@ -79,7 +82,7 @@ BYTE_BITS = 8 * (DEPTH + 1)
 CLASS_MIX = np.uint64(0x5851F42D4C957F2D)
 #: Low bits of a word key, which hold the class and the byte.
 WORD_LOW = np.uint64(0x7FFF)
-CHUNK = 32_768
+CHUNK = 4096
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -170,7 +173,8 @@ def document_classes(training: DataFrame, vocabulary: DataFrame) -> DocumentClas
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch["h"], pa.array([blank.vector(tokens(t)).astype(np.int32).tobytes() for t in batch["text"].to_pylist()], pa.binary())], ["h", "x"])
+            rows = [blank.vector(tokens(t)).astype(np.int32).tobytes() for _, texts in column_slices(batch["text"], SLICE) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch["h"], pa.array(rows, pa.binary())], ["h", "x"])
 
     vectors = stage(training.select(F.xxhash64("doc_id", "text").alias("h"), "text").mapInArrow(count, "h long, x binary"), "lm-vectors")
     rows = [np.frombuffer(r.x, np.int32) for r in vectors.orderBy("h", "x").limit(SEED_TEXTS).collect()]
@@ -301,6 +305,65 @@ def _summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(times[by], first)
 
 
+class Gathered:
+    """Distinct bytes in context with their number, in as many cells as are given: ``use`` gets keys, words and numbers once these are full, and at the end."""
+
+    def __init__(self, bits: int, use: Callable[[np.ndarray, np.ndarray, np.ndarray], None]) -> None:
+        self.bits, self.use = bits, use
+        self.times, self.keys, self.words = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64)
+        self.left: list[tuple[np.ndarray, np.ndarray]] = []
+        self.n_left = 0
+
+    def add(self, keys: np.ndarray, words: np.ndarray) -> None:
+        n = len(keys)
+        keys, words = self._into_cells(keys, words)
+        if len(keys) * FULL > n:
+            self._empty_cells()
+            keys, words = self._into_cells(keys, words)
+        if len(keys):
+            self.left.append((keys, words))
+            self.n_left += len(keys)
+            if self.n_left >= LEFT:
+                self._empty_left()
+
+    def finish(self) -> None:
+        self._empty_cells()
+        self._empty_left()
+
+    def _into_cells(self, keys: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What finds its cells taken by others."""
+        mixed = words ^ (keys * np.uint64(0x9E3779B97F4A7C15))
+        mixed ^= mixed >> np.uint64(32)
+        for _ in range(PROBES):
+            mixed = mixed * np.uint64(0x9E3779B97F4A7C15)
+            at = (mixed >> np.uint64(64 - self.bits)).view(np.int64)
+            free = np.flatnonzero(self.times.take(at) == 0)
+            # of equal cells the last writer is the same for both arrays
+            self.keys[at[free]], self.words[at[free]] = keys[free], words[free]
+            own = (self.keys.take(at) == keys) & (self.words.take(at) == words)
+            np.add.at(self.times, at[own], 1)
+            rest = np.flatnonzero(~own)
+            keys, words, mixed = keys[rest], words[rest], mixed[rest] ^ (mixed[rest] >> np.uint64(29))
+            if not len(rest):
+                break
+        return keys, words
+
+    def _empty_cells(self) -> None:
+        at = np.flatnonzero(self.times)
+        if len(at):
+            self.use(self.keys[at], self.words[at], self.times[at])
+            self.times[:] = 0
+
+    def _empty_left(self) -> None:
+        if self.left:
+            keys, words = (np.concatenate(x) for x in zip(*self.left, strict=True))
+            by = np.lexsort((words, keys))
+            keys, words = keys[by], words[by]
+            first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (words[1:] != words[:-1]))))
+            self.use(keys[first], words[first], np.diff(np.append(first, len(keys))))
+            self.left, self.n_left = [], 0
+
+
 def word_base(words: np.ndarray) -> np.ndarray:
     return based(words >> np.uint64(8), 99)
 
@@ -316,6 +379,13 @@ def decisions(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield depth, np.uint64(1 << depth) | (last >> np.uint64(8 - depth)), ((last >> np.uint64(7 - depth)) & np.uint64(1)).view(np.int64)
 
 
+def slots_of(keys: np.ndarray, bases: list[np.ndarray], bits: tuple[int, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Bit, and each predictor's slots, of all decisions: a row for each depth."""
+    last, depth = (keys & np.uint64(255)).view(np.int64), np.arange(8)[:, None]
+    path = ((last | 256) >> (8 - depth)).view(np.uint64)
+    return (last >> (7 - depth)) & 1, [slots(base, b, path) for base, b in zip(bases, bits, strict=True)]
+
+
 def squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
@@ -331,6 +401,8 @@ def quantised(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
 #: Logit, times 15, of each pair of quantised counts; 0 where nothing was seen.
 _A, _B = np.meshgrid(np.arange(256), np.arange(256), indexing="ij")
 LOGITS = np.round(np.clip(np.log((_B + 0.1) / (_A + 0.1)), -LOGIT_MAX, LOGIT_MAX) * 15).astype(np.int8)
+#: The same without the decision's own count, for a zero and above for a one.
+LOGITS_WITHOUT = np.concatenate((LOGITS[np.maximum(_A - 1, 0), _B].ravel(), LOGITS[_A, np.maximum(_B - 1, 0)].ravel()))
 
 
 @dataclass
@@ -359,11 +431,9 @@ class ContextMixer:
         out = np.zeros(len(keys), dtype=np.float32)
         for first in range(0, len(keys), CHUNK):
             k = keys[first : first + CHUNK]
-            bases = all_bases(k, words[first : first + CHUNK])
-            for depth, path, bit in decisions(k):
-                inputs = [t[slots(base, b, path)] for t, base, b in zip(self._logits, bases, self.bits, strict=True)]
-                p = mix(inputs, depth, self.weights, self.refined)[0]
-                out[first : first + CHUNK] += np.log2(np.where(bit == 1, p, 1 - p))
+            bit, found = slots_of(k, all_bases(k, words[first : first + CHUNK]), self.bits)
+            p = refine(*mix([t.take(at) for t, at in zip(self._logits, found, strict=True)], self.weights)[1:], self.refined)
+            out[first : first + CHUNK] = np.log2(np.where(bit == 1, p, 1 - p)).sum(axis=0)
         return out
 
     def log2(self, held: Contexts) -> np.ndarray:
@@ -394,28 +464,35 @@ ROWS = (len(ORDERS) + 1) * 3
 GATES = ROWS * 8
 
 
-def mix(inputs: list[np.ndarray], depth: int, weights: np.ndarray, refined: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Probability of a one, and what training needs: logits, gate, mixed probability, map's row, cell and share of the next cell."""
-    x = np.empty((len(inputs) + 1, len(inputs[0])), dtype=np.float32)
-    x[-1] = 0.25
-    seen = np.zeros(len(inputs[0]), dtype=np.int64)
+def mix(inputs: list[np.ndarray], weights: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Logits, map's row, mixed probability of a one, map's cell and share of the next cell, each with a row for each depth; a gate is eight times the map's row and the depth."""
+    x = np.empty((len(inputs) + 1, *inputs[0].shape), dtype=np.float32)
+    seen = np.zeros(inputs[0].shape, dtype=np.int8)
     for k, raw in enumerate(inputs):
-        x[k] = raw
+        np.multiply(raw, np.float32(1 / 15), out=x[k])
         if k < len(ORDERS):
-            seen[raw != 0] = k + 1
-    grade = (np.abs(x[-2]) > 0).astype(np.int64) + (np.abs(x[-2]) > 50)
-    x[:-1] *= np.float32(1 / 15)
-    row = seen * 3 + grade
-    gate = row * 8 + depth
-    z = np.clip(np.einsum("kn,nk->n", x, weights[gate]), -12, 12)
-    mixed = squash(z)
-    position = (z + 12) * np.float32((MAP_CELLS - 1) / 24)
+            np.maximum(seen, (raw != 0).view(np.int8) * np.int8(k + 1), out=seen)
+    x[-1] = 0.25
+    seen *= np.int8(3)
+    seen += inputs[-1] != 0
+    seen += np.abs(inputs[-1]) > 50
+    row = seen.astype(np.intp)
+    gate = row * 8
+    gate += np.arange(8)[:, None]
+    z = np.zeros(row.shape, dtype=np.float32)
+    for own, v in zip(weights.T.copy(), x, strict=True):
+        z += own.take(gate) * v
+    np.clip(z, -12, 12, out=z)
+    position = (z + np.float32(12)) * np.float32((MAP_CELLS - 1) / 24)
     cell = np.minimum(position.astype(np.int32), MAP_CELLS - 2)
-    share = position - cell.astype(np.float32)
-    flat = row * MAP_CELLS + cell
-    smooth = refined.reshape(-1)[flat] * (1 - share) + refined.reshape(-1)[flat + 1] * share
-    p = np.clip((mixed + smooth) / 2, LEAST_P, 1 - LEAST_P)
-    return p, x, gate, mixed, row, cell, share
+    return x, row, squash(z), cell, position - cell.astype(np.float32)
+
+
+def refine(row: np.ndarray, mixed: np.ndarray, cell: np.ndarray, share: np.ndarray, refined: np.ndarray) -> np.ndarray:
+    """Probability of a one by the mean of the mixed one and the map's."""
+    flat, cells = row * MAP_CELLS + cell, refined.reshape(-1)
+    smooth = cells.take(flat) * (1 - share) + cells.take(flat + 1) * share
+    return np.clip((mixed + smooth) / 2, LEAST_P, 1 - LEAST_P)
 
 
 def start_weights() -> tuple[np.ndarray, np.ndarray]:
@@ -439,55 +516,39 @@ class Learner:
         self.squares = np.full(self.weights.shape, 1.0, dtype=np.float32)
         self.used = np.zeros(GATES)
         self.start, self.ones, self.n = self.refined.astype(np.float64), np.zeros(self.refined.size), np.zeros(self.refined.size)
-        self._times: np.ndarray | None = None
+        self._gathered: Gathered | None = None
 
     def gather(self, held: Contexts) -> None:
-        """Count bytes in context; those that find their cell taken by another one are learnt from at once."""
-        if self._times is None:
-            size = 1 << DISTINCT_BITS
-            self._times, self._keys, self._words = np.zeros(size, np.int64), np.zeros(size, np.uint64), np.zeros(size, np.uint64)
-        both = held.words ^ (held.keys * np.uint64(0x9E3779B97F4A7C15))
-        at = (((both ^ (both >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - DISTINCT_BITS)).view(np.int64)
-        free = np.flatnonzero(self._times[at] == 0)
-        # of equal cells the last writer is the same for both arrays
-        self._keys[at[free]], self._words[at[free]] = held.keys[free], held.words[free]
-        own = (self._keys[at] == held.keys) & (self._words[at] == held.words)
-        self._times += np.bincount(at[own], minlength=len(self._times))
-        if not own.all():
-            rest = np.flatnonzero(~own)
-            rest = rest[np.argsort(both[rest], kind="stable")]
-            k, w = held.keys[rest], held.words[rest]
-            first = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (w[1:] != w[:-1]))))
-            self.see(Contexts(k[first], w[first], held.starts, held.ends), np.diff(np.append(first, len(k))))
+        """Count bytes in context, to be learnt from once the cells for them are full, or at the end."""
+        if self._gathered is None:
+            self._gathered = Gathered(DISTINCT_BITS, lambda keys, words, times: self.see(Contexts(keys, words, times[:0], times[:0]), times))
+        self._gathered.add(held.keys, held.words)
 
     def finish(self) -> None:
-        """Learn from what was gathered, in the order of hashes."""
-        if self._times is not None:
-            at = np.flatnonzero(self._times)
-            self.see(Contexts(self._keys[at], self._words[at], at[:0], at[:0]), self._times[at])
-            self._times = None
+        if self._gathered is not None:
+            self._gathered.finish()
+            self._gathered = None
 
     def see(self, held: Contexts, times: np.ndarray | None = None) -> None:
         for first in range(0, len(held.keys), STEP):
             keys = held.keys[first : first + STEP]
             often = np.ones(len(keys)) if times is None else times[first : first + STEP].astype(np.float64)
-            bases = all_bases(keys, held.words[first : first + STEP])
-            for depth, path, bit in decisions(keys):
-                inputs = []
-                for t, base, b in zip(self.tables, bases, self.bits, strict=True):
-                    n = t[slots(base, b, path)].astype(np.int64)
-                    inputs.append(LOGITS[np.maximum((n >> 8) - (bit == 0), 0), np.maximum((n & 255) - (bit == 1), 0)])
-                _, x, gate, mixed, row, cell, share = mix(inputs, depth, self.weights, self.refined)
-                wrong = ((bit - mixed) * often).astype(np.float32)
-                slope = np.stack([np.bincount(gate, weights=v * wrong, minlength=GATES) for v in x], axis=1).astype(np.float32)
-                self.squares += slope * slope
-                self.weights += 0.05 * slope / np.sqrt(self.squares)
-                self.used += np.bincount(gate, weights=often, minlength=GATES)
-                near = row * MAP_CELLS + np.where(share < 0.5, cell, cell + 1)
-                self.n += np.bincount(near, weights=often, minlength=self.n.size)
-                self.ones += np.bincount(near, weights=bit * often, minlength=self.n.size)
-                held_map = (self.start.ravel() * MAP_PRIOR + self.ones) / (MAP_PRIOR + self.n)
-                self.refined.reshape(-1)[:] = np.clip(held_map, LEAST_P, 1 - LEAST_P)
+            bit, found = slots_of(keys, all_bases(keys, held.words[first : first + STEP]), self.bits)
+            own = bit << 16
+            x, row, mixed, cell, share = mix([LOGITS_WITHOUT.take(t.take(at) + own) for t, at in zip(self.tables, found, strict=True)], self.weights)
+            # each depth has gates of its own
+            x *= (bit - mixed) * often
+            chosen = (np.arange(ROWS, dtype=np.int8)[:, None] == row.astype(np.int8)[:, None]).astype(np.float32)
+            slope = (chosen @ x.transpose(1, 2, 0)).transpose(1, 0, 2).reshape(self.weights.shape)
+            self.squares += slope * slope
+            self.weights += 0.05 * slope / np.sqrt(self.squares)
+            self.used += (chosen @ often).T.ravel()
+            near = (row * MAP_CELLS + cell + (share >= 0.5)).ravel()
+            often = np.tile(often, 8)
+            self.n += np.bincount(near, weights=often, minlength=self.n.size)
+            self.ones += np.bincount(near, weights=bit.ravel() * often, minlength=self.n.size)
+            held_map = (self.start.ravel() * MAP_PRIOR + self.ones) / (MAP_PRIOR + self.n)
+            self.refined.reshape(-1)[:] = np.clip(held_map, LEAST_P, 1 - LEAST_P)
 
 
 def learn(training: DataFrame, tables: list[np.ndarray], classes: DocumentClasses) -> ContextMixer:
@@ -498,7 +559,7 @@ def learn(training: DataFrame, tables: list[np.ndarray], classes: DocumentClasse
         tables, classes = shared.value
         learner, seen = Learner(tables), False
         for batch in batches:
-            for _, texts in column_slices(batch["text"], COUNT_CHARS):
+            for _, texts in column_slices(batch["text"], SLICE):
                 learner.gather(contexts_of([tokens(t) for t in texts], classes)[0])
                 seen = True
         learner.finish()
@@ -524,6 +585,27 @@ def slot_bits(letters: int) -> tuple[int, ...]:
     return tuple(max(LEAST_BITS, min(most, wanted)) for most in MOST_BITS)
 
 
+def sum_blocks(parts: DataFrame, dtype: str, out: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """Sum packed blocks of a key inside each partition, in 64 bits. Keys come sorted, so a worker holds one block and one sum however many keys a partition has."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([key]), pa.array([out(total)], pa.binary())], ["key", "payload"])
+
+        key, total = None, None
+        for batch in batches:
+            for k, payload in zip(batch["key"], batch["payload"], strict=True):
+                if (own := k.as_py()) != key:
+                    if key is not None:
+                        yield done()
+                    key, total = own, 0
+                total = total + unpack(payload.as_py(), dtype).astype(np.int64, copy=False)
+        if key is not None:
+            yield done()
+
+    return parts.select("key", "payload").sortWithinPartitions("key").mapInArrow(add, "key string, payload binary")
+
+
 def count_slots(training: DataFrame, classes: DocumentClasses, bits: tuple[int, ...]) -> list[np.ndarray]:
     """Quantised counts of zeros and ones in every slot, over all texts of ``training``."""
     shared = training.sparkSession.sparkContext.broadcast(classes)
@@ -535,39 +617,36 @@ def count_slots(training: DataFrame, classes: DocumentClasses, bits: tuple[int,
             table, b = tables[place], bits[place]
             for first in range(0, len(keys), CHUNK):
                 k, n = keys[first : first + CHUNK], times[first : first + CHUNK].astype(np.int32)
-                base = base_of(k)
-                for _, path, bit in decisions(k):
-                    np.add.at(table, slots(base, b, path) + (bit << b), n)
+                bit, (found,) = slots_of(k, [base_of(k)], (b,))
+                found += bit << b
+                np.add.at(table, found.ravel(), np.tile(n, 8))
 
-        def add(cut: list[list[bytes]]) -> None:
-            held = contexts_of(cut, shared.value)[0]
-            keys, times = np.unique(held.keys, return_counts=True)
+        def use(keys: np.ndarray, words: np.ndarray, times: np.ndarray) -> None:
+            into(len(ORDERS), *_summed(words, times), word_base)
             for place in reversed(range(len(ORDERS))):
                 # a shorter context's counts are sums of a longer one's
-                if ORDERS[place] < DEPTH:
-                    keys, times = _summed(without_above(keys, ORDERS[place]), times)
+                keys, times = _summed(without_above(keys, ORDERS[place]), times)
                 into(place, keys, times, lambda k, order=ORDERS[place]: order_base(k, order))
-            into(len(ORDERS), *np.unique(held.words, return_counts=True), word_base)
 
+        gathered = Gathered(COUNT_BITS, use)
         for batch in batches:
-            for _, texts in column_slices(batch["text"], COUNT_CHARS):
-                add([tokens(t) for t in texts])
+            for _, texts in column_slices(batch["text"], SLICE):
+                held = contexts_of([tokens(t) for t in texts], shared.value)[0]
+                gathered.add(held.keys, held.words)
+        gathered.finish()
+        del gathered
         for k, (table, b) in enumerate(zip(tables, bits, strict=True)):
             both = table.reshape(2, 1 << b)
             for block in range(1 << (b - BLOCK_BITS)):
                 part = both[:, block << BLOCK_BITS : (block + 1) << BLOCK_BITS]
                 if part.any():
-                    yield pa.RecordBatch.from_pydict({"key": [f"{k}:{block}"], "salt": pa.array([salt(8)], pa.int32()), "payload": [pack(part.astype(np.int64))]})
-
-    def quantise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [unpack(p, "int64").reshape(2, -1) for p in batch["payload"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["key"], pa.array([pack(quantised(p[0], p[1])) for p in parts], pa.binary())], ["key", "payload"])
+                    yield pa.RecordBatch.from_pydict({"key": [f"{k}:{block}"], "salt": pa.array([salt(4)], pa.int32()), "payload": [pack(part)]})
 
     out = [np.zeros(1 << b, np.uint16) for b in bits]
-    summed = sum_arrays(training.select("text").mapInArrow(count, "key string, salt int, payload binary"), "int64")
+    counted = training.select("text").mapInArrow(count, "key string, salt int, payload binary")
+    first = sum_blocks(counted.repartition("key", "salt"), "int32", pack)
     # as many rows as there are blocks, whatever the corpus
-    for row in stage(summed.mapInArrow(quantise, "key string, payload binary"), "lm-slots").toLocalIterator():
+    for row in stage(sum_blocks(first.repartition("key"), "int64", lambda total: pack(quantised(*total.reshape(2, -1)))), "lm-slots").toLocalIterator():
         k, block = map(int, row.key.split(":"))
         out[k][block << BLOCK_BITS : (block + 1) << BLOCK_BITS] = unpack(row.payload, "uint16")
     return out
@@ -582,9 +661,10 @@ def count_tokens(docs: DataFrame) -> DataFrame:
 
         held: Counter = Counter()
         for batch in batches:
-            for text in batch["text"].to_pylist():
-                held.update(tokens(text))
-                held[END] += 1
+            for _, texts in column_slices(batch["text"], SLICE):
+                for text in texts:
+                    held.update(tokens(text))
+                    held[END] += 1
                 if len(held) > 200_000:
                     yield out()
                     held.clear()
@@ -622,7 +702,7 @@ def scored_slices(batches: Iterator[pa.RecordBatch], mixer: ContextMixer, classe
     """A batch of ``SCORED`` for each slice of texts, so that a worker never holds more than one slice's strings; rows are numbered from ``row``."""
     names = [field.split()[0] for field in SCORED.split(", ")]
     for batch in batches:
-        for first, texts in column_slices(batch["text"], SCORE_CHARS):
+        for first, texts in column_slices(batch["text"], SLICE):
             held, flat, found, starts, ends = contexts_of([tokens(t) for t in texts], classes, places)
             bits, sizes = mixer.log2(held), held.ends - held.starts
             logs = log_of[found]

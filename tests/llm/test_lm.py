@@ -186,6 +186,41 @@ def test_counts_cover_whole_texts_and_rare_words(spark):
             assert (np.where(bit == 1, n & 255, n >> 8) >= 1).all(), (word, depth)
 
 
+def test_gathered_bytes_are_all_counted(rng):
+    used = Counter()
+    gathered = lm.Gathered(8, lambda keys, words, times: used.update(dict(zip(zip(keys.tolist(), words.tolist(), strict=True), times.tolist(), strict=True))))
+    want = Counter()
+    for _ in range(20):  # some 4,000 distinct bytes for 256 cells
+        held = lm.contexts_of([lm.tokens(words(rng, 200))], none())[0]
+        gathered.add(held.keys, held.words)
+        want.update(zip(held.keys.tolist(), held.words.tolist(), strict=True))
+    gathered.finish()
+    assert used == want and len(want) > 2000
+
+
+def test_slots_of_all_depths_are_those_of_each(rng):
+    keys = np.array([rng.getrandbits(51) for _ in range(300)], np.uint64)
+    bit, (found,) = lm.slots_of(keys, [lm.order_base(keys, 3)], (20,))
+    for depth, path, own in lm.decisions(keys):
+        assert (bit[depth] == own).all() and (found[depth] == lm.slots(lm.order_base(keys, 3), 20, path)).all()
+
+
+def test_summed_blocks_hold_one_key_at_a_time(spark):
+    rows = [(f"{k % 3}:{k % 5}", bytearray(lm.pack(np.array([k, 2**31 - 1], np.int32)))) for k in range(60)]
+    parts = spark.createDataFrame(rows, "key string, payload binary").repartition(2, "key")
+    got = {r.key: lm.unpack(r.payload, "int64").tolist() for r in lm.sum_blocks(parts, "int32", lm.pack).collect()}
+    assert got == {f"{a}:{b}": [sum(k for k in range(60) if (k % 3, k % 5) == (a, b)), 4 * (2**31 - 1)] for a in range(3) for b in range(5)}
+
+
+def test_one_worker_for_a_task(spark, monkeypatch):
+    # two Arrow functions in one stage take two workers for each task, and all of them stay
+    monkeypatch.setattr(lm, "stage", lambda df, _: seen.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    seen = []
+    lm.count_slots(documents(spark, ["a b", "c"], first=10), none(), (16,) * 5)
+    for part in seen[0].split("Exchange"):
+        assert part.count("MapInArrow") <= 1
+
+
 def test_quantised_counts():
     n0, n1 = np.array([0, 1, 255, 256, 10**9, 0]), np.array([0, 0, 3, 1, 1, 10**12])
     got = lm.quantised(n0, n1)
